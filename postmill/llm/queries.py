@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from postmill.llm.leaks import leaked_items
 from postmill.llm.packing import pack_texts
+from postmill.llm.places import placed
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -16,8 +18,19 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = placed(_t(spark, d, "raw_jobs").select("row_id", "location"), _t(spark, d, "places"))
+    return rows.select("row_id", F.explode("place_ids").alias("place_id"))
+
+
+def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The values that name no listed place, with the number of rows that have them."""
+    rows = placed(_t(spark, d, "raw_jobs").select("row_id", "location"), _t(spark, d, "places"))
+    return rows.where(F.array_contains("place_ids", 0)).groupBy("location").agg(F.count("*").alias("n_rows"))
+
+
 def p7_pack(spark: SparkSession, d: str) -> DataFrame:
     return pack_texts(_t(spark, d, "documents"))
 
 
-QUERIES = {"p7_pack": p7_pack, "p8_found": p8_found}
+QUERIES = {"p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_pack": p7_pack, "p8_found": p8_found}
