@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm.leaks import leaked_items
+from postmill.llm.names import link_names
 from postmill.llm.packing import pack_texts
 from postmill.llm.places import placed
 
@@ -29,8 +30,19 @@ def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(F.array_contains("place_ids", 0)).groupBy("location").agg(F.count("*").alias("n_rows"))
 
 
+def _company_names(spark: SparkSession, d: str) -> DataFrame:
+    company = F.col("company").alias("name")
+    return _t(spark, d, "raw_jobs").select(company).unionAll(_t(spark, d, "jobs").select(company))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    linked = link_names(_company_names(spark, d))
+    other = linked.select(F.col("name").alias("name_b"), "org")
+    return linked.withColumnRenamed("name", "name_a").join(other, "org").where("name_a < name_b").select("name_a", "name_b")
+
+
 def p7_pack(spark: SparkSession, d: str) -> DataFrame:
     return pack_texts(_t(spark, d, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_pack": p7_pack, "p8_found": p8_found}
+QUERIES = {"p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p7_pack": p7_pack, "p8_found": p8_found}
