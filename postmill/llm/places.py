@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.ngrams import GramIndex, edits, folded
-from postmill.session import written
+from postmill.session import groups_for, written
 
 #: Most places in one index; a longer list is searched in blocks of this many.
 BLOCK_PLACES = 100_000
@@ -153,6 +153,8 @@ def map_places(values: DataFrame, places: DataFrame, value: str = "location") ->
     """
     spark = values.sparkSession
     distinct = values.select(F.col(value).cast("string").alias("value")).where(F.col("value").isNotNull() & (F.trim("value") != "")).distinct()
+    # few bytes but much work a value: keep all cores busy
+    distinct = distinct.repartition(groups_for(0, spark))
     fields = ["place_id", "city", "region_code", "region_name", "country_iso", "country_name", "also_called"]
     known = places.select(*fields).where(F.col("place_id").isNotNull())
     # regions and countries are as many as there are of them on earth, whatever the list's length

@@ -9,6 +9,7 @@ from postmill.llm.leaks import leaked_items
 from postmill.llm.names import link_names
 from postmill.llm.packing import pack_texts
 from postmill.llm.places import placed
+from postmill.llm.postings import accepted_before
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -19,6 +20,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "raw_jobs").select("row_id", "batch_no", "global_id", "requisition_id", "company", "location")
+    return accepted_before(rows, _company_names(spark, d), _t(spark, d, "places"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     rows = placed(_t(spark, d, "raw_jobs").select("row_id", "location"), _t(spark, d, "places"))
     return rows.select("row_id", F.explode("place_ids").alias("place_id"))
@@ -45,4 +51,4 @@ def p7_pack(spark: SparkSession, d: str) -> DataFrame:
     return pack_texts(_t(spark, d, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p7_pack": p7_pack, "p8_found": p8_found}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p7_pack": p7_pack, "p8_found": p8_found}
