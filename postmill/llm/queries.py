@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postmill.llm.leaks import leaked_items
 from postmill.llm.names import link_names
+from postmill.llm.near import joined_text, near_groups, near_pairs, row_pairs
 from postmill.llm.packing import pack_texts
 from postmill.llm.places import placed
 from postmill.llm.postings import accepted_before
@@ -20,6 +21,23 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
 
 
+def _postings(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "raw_jobs").select(F.col("row_id").alias("id"), joined_text("title", "description").alias("text"))
+
+
+#: What TESTDATA.md asks for: at least half of the three-word sequences of two rows of 20 words or more.
+SAME_POSTING = {"threshold": 0.5, "shingle": 3, "min_words": 20}
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return row_pairs(*near_pairs(_postings(spark, d), **SAME_POSTING))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row per posting: its class of near-duplicates and the number of its representative's links."""
+    return near_groups(_postings(spark, d), **SAME_POSTING)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "raw_jobs").select("row_id", "batch_no", "global_id", "requisition_id", "company", "location")
     return accepted_before(rows, _company_names(spark, d), _t(spark, d, "places"))
@@ -51,4 +69,4 @@ def p7_pack(spark: SparkSession, d: str) -> DataFrame:
     return pack_texts(_t(spark, d, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p7_pack": p7_pack, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p7_pack": p7_pack, "p8_found": p8_found}
