@@ -26,6 +26,8 @@ TRADE_SHARE = 0.003
 #: Least cosine of a pair to be kept, of two groups (average linkage) to be merged, and of a form
 #: without a trade to join a group; its lead over the next group.
 KEEP, MERGE, JOIN, LEAD = 0.3, 0.5, 0.55, 0.05
+#: Below this cosine a pair is also compared by edits; an edit takes off three times its share of the letters.
+UNSURE = 0.65
 
 # Legal forms, as folded words.
 LEGAL = {"inc", "llc", "ltd", "limited", "plc", "gmbh", "corp", "corporation", "co", "company", "pty", "ag", "sa", "bv", "nv", "srl", "spa", "oy", "ab", "as", "lp", "llp", "incorporated", "kg", "sas", "sarl", "pte"}
@@ -198,7 +200,11 @@ def _cosines(pairs: DataFrame, forms: DataFrame, weights) -> DataFrame:
             sims = []
             for x, y in zip(b["fa"], b["fb"]):
                 u, v = vec(x), vec(y)
-                sims.append(sum(s * v[g] for g, s in u.items() if g in v))
+                s = sum(c * v[g] for g, c in u.items() if g in v)
+                if KEEP <= s < UNSURE:  # an edit changes several n-grams of a short name: let edits decide
+                    p, q = x.replace(" ", ""), y.replace(" ", "")
+                    s = max(s, 1 - 3 * edits(p, q, 2) / max(len(p), len(q)))
+                sims.append(s)
             yield pd.DataFrame({"a": b["a"], "b": b["b"], "sim": np.array(sims, float)})
 
     return both.select("a", "b", "fa", "fb").mapInPandas(dot, "a bigint, b bigint, sim double")

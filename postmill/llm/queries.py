@@ -11,6 +11,7 @@ from postmill.llm.near import joined_text, near_groups, near_pairs, row_pairs
 from postmill.llm.packing import pack_texts
 from postmill.llm.places import placed
 from postmill.llm.postings import accepted_before
+from postmill.llm.quality import not_prose, prose_distances
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -69,4 +70,13 @@ def p7_pack(spark: SparkSession, d: str) -> DataFrame:
     return pack_texts(_t(spark, d, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p7_pack": p7_pack, "p8_found": p8_found}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return not_prose(_t(spark, d, "documents"), _t(spark, d, "doc_labels"))
+
+
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's statistics, distance from prose, and each statistic's part in it."""
+    return prose_distances(_t(spark, d, "documents"), _t(spark, d, "doc_labels"))
+
+
+QUERIES = {"p9_found": p9_found, "p9_statistics": p9_statistics, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p7_pack": p7_pack, "p8_found": p8_found}
