@@ -64,6 +64,8 @@ class Patterns:
         All windows advance in step, each by its own shift.
         """
         m = self.m
+        if not len(self.runs):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         doc = np.flatnonzero(ends - starts >= m)
         pos = starts[doc] + m - 1  # the window's last word
         hits_d, hits_p = [], []
