@@ -25,6 +25,8 @@ from postmill.session import written
 #: Segments of a signature, and symbols of a segment. At a similarity of 0.55 a pair shares a variant
 #: with a probability of 0.94, at 0.6 of 0.98, at 0.7 of 0.9998 (see recall()).
 SEGMENTS, WIDTH = 16, 6
+#: Symbols of each segment that make the brief signature, by which candidates are looked at first.
+BRIEF = 2
 #: Standard deviations below the threshold at which a signature's estimate rules a candidate out.
 SLACK = 3.5
 #: Most ids of candidates that are broadcast to fetch their texts; beyond, the texts are shuffled.
@@ -76,7 +78,8 @@ def _kernels(shingle: int, min_words: int):
                     ids.append(i)
                     copies.append(xxhash.xxh3_128_digest(" ".join(words)))
                     signs.append(signature(shingles(words, cache)))
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(copies, pa.binary()), pa.array(signs, pa.binary())], ["id", "copy", "sig"])
+            brief = [b"".join(x[s : s + BRIEF] for s in range(0, len(x), WIDTH)) for x in signs]
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(copies, pa.binary()), pa.array(signs, pa.binary()), pa.array(brief, pa.binary())], ["id", "copy", "sig", "brief"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHash()
@@ -107,23 +110,27 @@ def near_pairs(texts: DataFrame, threshold: float = 0.8, shingle: int = 5, min_w
     """
     sign, sets = _kernels(shingle, min_words)
     source = texts.select(F.col(rows_key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
-    signed = written(source.mapInArrow(sign, "id bigint, copy binary, sig binary"), "signatures")
-    reps = written(signed.groupBy("copy").agg(F.min(F.struct("id", "sig")).alias("r")).select("r.id", "r.sig"), "reps")
+    signed = written(source.mapInArrow(sign, "id bigint, copy binary, sig binary, brief binary"), "signatures")
+    reps = written(signed.groupBy("copy").agg(F.min(F.struct("id", "sig", "brief")).alias("r")).select("r.id", "r.sig", "r.brief"), "reps")
     members = signed.select("id", "copy").join(signed.groupBy("copy").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copy").select("id", "rep")
     index = reps.mapInArrow(_expand, "key bigint, id bigint")
     x, y = index.alias("x"), index.alias("y")
     candidates = x.join(y, F.col("x.key") == F.col("y.key")).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    least = SEGMENTS * WIDTH * (threshold - SLACK * np.sqrt(0.25 / (SEGMENTS * WIDTH)))
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 p, q = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in (2, 3))
-                keep = pa.array((p == q).sum(1) >= least)
+                n = p.shape[1]
+                keep = pa.array((p == q).sum(1) >= n * threshold - SLACK * np.sqrt(0.25 * n))
                 yield pa.record_batch([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
-    signs = lambda k: reps.select(F.col("id").alias(k), F.col("sig").alias(f"sig_{k}"))
-    near = written(candidates.join(signs("a"), "a").join(signs("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(close, "a bigint, b bigint"), "candidates")
+    def filtered(pairs: DataFrame, sig: str) -> DataFrame:
+        side = lambda k: reps.select(F.col("id").alias(k), F.col(sig).alias(f"sig_{k}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(close, "a bigint, b bigint")
+
+    # most candidates are told apart by a third of the signature, so the whole one travels for few
+    near = written(filtered(filtered(candidates, "brief"), "sig"), "candidates")
     wanted = written(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
