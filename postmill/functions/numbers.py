@@ -14,7 +14,7 @@ def nearest_rank(values: Column, fraction: float) -> Column:
 
 def bucket(c: Column, width: int, count: int) -> Column:
     """Lower end of the bucket of width that holds a value; the last of count buckets is closed above."""
-    return F.least(F.floor(c / width), F.lit(count - 1)).cast("int") * width
+    return F.when(c.isNotNull(), F.least(F.floor(c / width), F.lit(count - 1)).cast("int") * width)
 
 
 def pieces(c: Column, points: list[tuple[float, float]], beyond: float) -> Column:

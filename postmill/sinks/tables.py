@@ -21,7 +21,7 @@ def write_version(df: DataFrame, root: str, partition_by: list[str] | None = Non
 def point(spark: SparkSession, root: str, path: str) -> None:
     """Makes path the current version: a small file written beside and renamed over."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target, draft = jvm.org.apache.hadoop.fs.Path(f"{root}/_current"), jvm.org.apache.hadoop.fs.Path(f"{root}/_current-{uuid.uuid4().hex}")
+    target, draft = jvm.org.apache.hadoop.fs.Path(f"{root}/current.txt"), jvm.org.apache.hadoop.fs.Path(f"{root}/current-{uuid.uuid4().hex}")
     fs = target.getFileSystem(conf)
     out = fs.create(draft, True)
     out.write(bytearray(path.encode()))
@@ -33,10 +33,10 @@ def point(spark: SparkSession, root: str, path: str) -> None:
 def current(spark: SparkSession, root: str) -> DataFrame | None:
     """The current version of a table, or None."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(f"{root}/_current")
+    target = jvm.org.apache.hadoop.fs.Path(f"{root}/current.txt")
     if not target.getFileSystem(conf).exists(target):
         return None
-    path = spark.read.text(f"{root}/_current").first()[0]
+    path = spark.read.text(f"{root}/current.txt").first()[0]
     return spark.read.parquet(path)
 
 
