@@ -20,7 +20,7 @@ import xxhash
 
 from postmill.llm.graph import components
 from postmill.llm.words import WordHash, ascii_words, mixed, run_hashes
-from postmill.session import written
+from postmill.session import groups_for, written
 
 #: Segments of a signature, and symbols of a segment. At a similarity of 0.55 a pair shares a variant
 #: with a probability of 0.94, at 0.6 of 0.98, at 0.7 of 0.9998 (see recall()).
@@ -29,6 +29,8 @@ SEGMENTS, WIDTH = 16, 6
 BRIEF = 2
 #: Standard deviations below the threshold at which a signature's estimate rules a candidate out.
 SLACK = 3.5
+#: Ids under one key beyond which its pairs are made by several tasks.
+RUN = 2_000
 #: Most ids of candidates that are broadcast to fetch their texts; beyond, the texts are shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -54,14 +56,18 @@ def signature(shingles: np.ndarray, segments: int = SEGMENTS, width: int = WIDTH
     return (mixed(low) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
-def variants(signatures: np.ndarray) -> np.ndarray:
-    """(records, segments, width) bytes -> (records, segments * width) keys: each segment with one symbol left out."""
-    n, segments, width = signatures.shape
-    at = np.uint64(1) << (np.arange(width, dtype=np.uint64) * np.uint64(8))
-    whole = (signatures.astype(np.uint64) * at).sum(2, dtype=np.uint64)
-    out = whole[:, :, None] - signatures.astype(np.uint64) * at
-    place = np.arange(segments * width, dtype=np.uint64).reshape(segments, width) << np.uint64(8 * width)
-    return (out | place[None]).reshape(n, -1).view(np.int64)
+def variants(sig: Column) -> Column:
+    """An array of segments * WIDTH keys of a signature: each segment with one symbol left out, and which.
+
+    Built from plain expressions, in the JVM.
+    """
+    keys = []
+    for s in range(SEGMENTS):
+        whole = F.conv(F.hex(F.substring(sig, s * WIDTH + 1, WIDTH)), 16, 10).cast("bigint")
+        keys.append(F.struct(whole.alias("v"), F.lit(s * WIDTH).cast("bigint").alias("p")))
+    segment = F.array(*keys)
+    left_out = lambda x: F.array(*[x["v"].bitwiseAND(F.lit((1 << 8 * WIDTH) - 1 - (255 << 8 * w)).cast("bigint")) + F.shiftleft(x["p"] + w, 8 * WIDTH) for w in range(WIDTH)])
+    return F.flatten(F.transform(segment, left_out))
 
 
 def _kernels(shingle: int, min_words: int):
@@ -90,13 +96,62 @@ def _kernels(shingle: int, min_words: int):
     return sign, sets
 
 
-def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, id) in order of key -> pairs (a, b) of ids under one key.
+
+    Of a key with more than RUN ids, blocks of RUN ids are handed out two by two instead, as (left,
+    right), so that other tasks make their pairs.
+    """
+
+    def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        n = len(a)
+        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], ["a", "b", "left", "right"])
+
+    def job(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([x.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["a", "b", "left", "right"])
+
+    def closed(key: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """All pairs of whole runs."""
+        d, at = 1, np.arange(len(key))
+        while len(at := at[at + d < len(key)]) and len(at := at[key[at] == key[at + d]]):
+            yield pairs(ids[at], ids[at + d])
+            d += 1
+
+    def ended(last: int | None, blocks: list[np.ndarray], open_: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not blocks:
+            yield from closed(np.full(len(open_), last), open_)
+        elif len(open_):
+            yield from (job(x, open_) for x in [*blocks, open_])
+
+    last, blocks, open_ = None, [], np.empty(0, np.int64)  # the run at the end, of which more may come
+    for b in batches:
+        key, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
+        if not len(key):
+            continue
+        head = int(np.searchsorted(key, last, "right")) if last is not None and key[0] == last else 0
+        if head:
+            open_ = np.r_[open_, ids[:head]]
+        if head < len(key):
+            yield from ended(last, blocks, open_)
+            last, blocks = int(key[-1]), []
+            tail = int(np.searchsorted(key, last, "left"))
+            yield from closed(key[head:tail], ids[head:tail])
+            open_ = ids[max(tail, head) :]
+        while len(open_) > RUN:
+            block, open_ = open_[:RUN], open_[RUN:]
+            yield from (job(x, block) for x in [*blocks, block])
+            blocks.append(block)
+    yield from ended(last, blocks, open_)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        if b.num_rows:
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1, WIDTH)
-            for s in range(0, b.num_rows, 500):
-                keys = variants(sig[s : s + 500])
-                yield pa.record_batch([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy()[s : s + 500], keys.shape[1]))], ["key", "id"])
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            same = x == y
+            x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+            for i in range(len(x)):
+                other = y[i + 1 :] if same else y
+                yield pa.record_batch([pa.array(np.minimum(x[i], other)), pa.array(np.maximum(x[i], other))], ["a", "b"])
 
 
 def near_pairs(texts: DataFrame, threshold: float = 0.8, shingle: int = 5, min_words: int = 1, rows_key: str = "id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -113,9 +168,11 @@ def near_pairs(texts: DataFrame, threshold: float = 0.8, shingle: int = 5, min_w
     signed = written(source.mapInArrow(sign, "id bigint, copy binary, sig binary, brief binary"), "signatures")
     reps = written(signed.groupBy("copy").agg(F.min(F.struct("id", "sig", "brief")).alias("r")).select("r.id", "r.sig", "r.brief"), "reps")
     members = signed.select("id", "copy").join(signed.groupBy("copy").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copy").select("id", "rep")
-    index = reps.mapInArrow(_expand, "key bigint, id bigint")
-    x, y = index.alias("x"), index.alias("y")
-    candidates = x.join(y, F.col("x.key") == F.col("y.key")).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    index = reps.select("id", F.explode(variants(F.col("sig"))).alias("key"))
+    # one shuffle and one sort: a self-join would need two of each
+    met = written(index.select("key", "id").repartition("key").sortWithinPartitions("key", "id").mapInArrow(_runs, "a bigint, b bigint, left binary, right binary"), "met")
+    crowded = met.where("left is not null").select("left", "right").repartition(groups_for(0, texts.sparkSession)).mapInArrow(_blocks, "a bigint, b bigint")
+    candidates = met.where("left is null").select("a", "b").unionAll(crowded).distinct()
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
