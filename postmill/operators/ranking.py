@@ -46,3 +46,18 @@ def blanks_last(c: str, descending: bool = False) -> Column:
     v = F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
     typed = F.when(v.isNotNull(), F.col(c))
     return typed.desc_nulls_last() if descending else typed.asc_nulls_last()
+
+
+def running_total(df: DataFrame, group: str, order: str, value: str, name: str, width: int) -> DataFrame:
+    """df with the running total of value within group in order of an integer column.
+
+    Summed within stretches of width, to which the total of the stretches before is added, so that
+    no task holds a whole group; the stretches' totals are as many as range / width.
+    """
+    cut = df.withColumn("_s", F.floor(F.col(order) / width))
+    totals = cut.groupBy(group, "_s").agg(F.sum(value).alias("_t"))
+    before = Window.partitionBy(group).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col(group).alias("_g"), F.col("_s").alias("_s2"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
+    joined = cut.join(offsets, cut[group].eqNullSafe(offsets["_g"]) & (cut["_s"] == offsets["_s2"]))
+    within = Window.partitionBy(group, "_s").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return joined.withColumn(name, F.col("_o") + F.coalesce(F.sum(value).over(within), F.lit(0))).select(*df.columns, name)
