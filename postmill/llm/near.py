@@ -51,23 +51,28 @@ def signature(shingles: np.ndarray, segments: int = SEGMENTS, width: int = WIDTH
     a, b = _seeds(segments * width)
     low = np.full(len(a), np.uint64(2**64 - 1))
     for s in range(0, len(shingles), 4096):  # in pieces, so that a very long text needs no more memory
-        x = shingles[s : s + 4096, None] * a + b
-        low = np.minimum(low, (x ^ (x >> np.uint64(32))).min(0))
+        low = np.minimum(low, (shingles[s : s + 4096, None] * a + b).min(0))
     return (mixed(low) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
-def variants(sig: Column) -> Column:
-    """An array of segments * WIDTH keys of a signature: each segment with one symbol left out, and which.
+def variants(signatures: np.ndarray) -> np.ndarray:
+    """(records, segments, width) bytes -> (records, segments * width) keys: each segment with one symbol left out, and which."""
+    n, segments, width = signatures.shape
+    at = np.uint64(1) << (np.arange(width, dtype=np.uint64) * np.uint64(8))
+    parts = signatures.astype(np.uint64) * at
+    place = np.arange(segments * width, dtype=np.uint64).reshape(segments, width) << np.uint64(8 * width)
+    return ((parts.sum(2, dtype=np.uint64)[:, :, None] - parts) | place[None]).reshape(n, -1).view(np.int64)
 
-    Built from plain expressions, in the JVM.
-    """
-    keys = []
-    for s in range(SEGMENTS):
-        whole = F.conv(F.hex(F.substring(sig, s * WIDTH + 1, WIDTH)), 16, 10).cast("bigint")
-        keys.append(F.struct(whole.alias("v"), F.lit(s * WIDTH).cast("bigint").alias("p")))
-    segment = F.array(*keys)
-    left_out = lambda x: F.array(*[x["v"].bitwiseAND(F.lit((1 << 8 * WIDTH) - 1 - (255 << 8 * w)).cast("bigint")) + F.shiftleft(x["p"] + w, 8 * WIDTH) for w in range(WIDTH)])
-    return F.flatten(F.transform(segment, left_out))
+
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, signature) -> (key, id) for each variant."""
+    for b in batches:
+        if b.num_rows:
+            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1, WIDTH)
+            ids = b.column(0).to_numpy()
+            for s in range(0, b.num_rows, 500):
+                keys = variants(sig[s : s + 500])
+                yield pa.record_batch([pa.array(keys.ravel()), pa.array(np.repeat(ids[s : s + 500], keys.shape[1]))], ["key", "id"])
 
 
 def _kernels(shingle: int, min_words: int):
@@ -168,9 +173,9 @@ def near_pairs(texts: DataFrame, threshold: float = 0.8, shingle: int = 5, min_w
     signed = written(source.mapInArrow(sign, "id bigint, copy binary, sig binary, brief binary"), "signatures")
     reps = written(signed.groupBy("copy").agg(F.min(F.struct("id", "sig", "brief")).alias("r")).select("r.id", "r.sig", "r.brief"), "reps")
     members = signed.select("id", "copy").join(signed.groupBy("copy").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copy").select("id", "rep")
-    index = reps.select("id", F.explode(variants(F.col("sig"))).alias("key"))
+    index = reps.select("id", "sig").mapInArrow(_expand, "key bigint, id bigint")
     # one shuffle and one sort: a self-join would need two of each
-    met = written(index.select("key", "id").repartition("key").sortWithinPartitions("key", "id").mapInArrow(_runs, "a bigint, b bigint, left binary, right binary"), "met")
+    met = written(index.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_runs, "a bigint, b bigint, left binary, right binary"), "met")
     crowded = met.where("left is not null").select("left", "right").repartition(groups_for(0, texts.sparkSession)).mapInArrow(_blocks, "a bigint, b bigint")
     candidates = met.where("left is null").select("a", "b").unionAll(crowded).distinct()
 
