@@ -33,7 +33,7 @@ NOISE = {"remote", "office", "hq", "headquarters", "hybrid", "onsite", "metro",
 SHORT = {"st": "saint", "ste": "saint", "ft": "fort", "mt": "mount", "mnt": "mount", "pt": "port", "n": "north", "s": "south", "e": "east", "w": "west", "upr": "upper", "up": "upper", "nr": "north", "no": "north", "so": "south"}
 # Countries by the names that are typed for them beside those of the list.
 COUNTRY_WORDS = {"usa": "US", "us": "US", "united states": "US", "america": "US", "uk": "GB", "great britain": "GB", "england": "GB", "deutschland": "DE", "brasil": "BR"}
-_SPLIT = re.compile(r"\s*[;|/\n•]\s*|\s+(?:or|and|&|\+|und|oder|ou|et|y|o)\s+")
+_SPLIT = re.compile(r"\s*[;|/\n•]\s*|(?<!,)\s+(?:or|and|&|\+|und|oder|ou|et|y|o)\s+")
 _UMLAUT = re.compile(r"(?<=[bcdfghjklmnprstvwz])(ue|oe|ae)")
 
 

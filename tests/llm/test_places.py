@@ -9,7 +9,7 @@ ROWS = [
 CASES = {
     "Saint Brisercaldedale, TN": [1], "St. Brisercaldedale": [1], "saint brisercadledale tn 37011": [1], "Old Chandlery Area": [1], "US > Tennessee > Saint Brisercaldedale": [1], "US-TN-Saint Brisercaldedale": [1],
     "Stoveminster": [0], "Stoveminster, Texas": [2], "Office - Stoveminster / MI": [3], "Ondrangate, IN": [4], "Ondrangate, India": [4], "Quelliniskerholt, OR (Hybrid)": [5], "Sornaneskirueck, Indiana": [6], "SORNANESKIRÜCK, IN": [6],
-    "Stoveminster, TX / Ondrangate, India": [2, 4], "Stoveminster, TX or Ondrangate": [2, 4], "Remote": [0], "Tennessee": [0], "India": [0], "--": [0], "Huxunharnanholt, IN": [0], "Ondrangate, TX": [0], "x" * 50_000: [0],
+    "Stoveminster, TX / Ondrangate, India": [2, 4], "Stoveminster, TX or Ondrangate": [2, 4], "quelliniskerholt, or or Ondrangate": [4, 5], "Remote": [0], "Tennessee": [0], "India": [0], "--": [0], "Huxunharnanholt, IN": [0], "Ondrangate, TX": [0], "x" * 50_000: [0],
 }
 
 
