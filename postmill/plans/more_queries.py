@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from postmill.functions import keys as K
 from postmill.functions import numbers as N
 from postmill.functions import text as X
+from postmill.functions.sections import Rules, sections_dropped, sections_kept
 from postmill.operators import ranking as G
 from postmill.operators import upsert as U
 from postmill.plans.key_queries import _COMPANY
@@ -129,3 +130,15 @@ def r05_by_provider(t: Tables) -> DataFrame:
 def r07_running_budget(t: Tables) -> DataFrame:
     used = G.running_total(t.errors.select("error_id", "stage", "retry_count"), "stage", "error_id", "retry_count", "used", 1_000)
     return used.select("error_id", "used", (F.col("used") >= 200).alias("over_limit"))
+
+
+# No SQL: a line scan with state, tested against cases.
+@query(None)
+def x09_sections_dropped(t: Tables) -> DataFrame:
+    rules = Rules(unwanted=r"about (?!the (?:role|job)|you)|who we are|company|what we offer|benefits|how to apply", unless=r"citizen|clearance")
+    return t.raw_jobs.where("description is not null").select("row_id", sections_dropped(F.col("description"), rules).alias("body"))
+
+
+@query(None)
+def x10_sections_kept(t: Tables) -> DataFrame:
+    return t.raw_jobs.where("description is not null").select("row_id", sections_kept(F.col("description"), r"what you (?:will do|bring)|profile|requirements|tasks").alias("body")).where("body is not null")

@@ -77,3 +77,17 @@ def test_cascade(spark):
 @pytest.mark.parametrize("bad", ["", "x"])
 def test_empty_cascade(spark, bad):
     assert [tuple(x) for x in values(spark, N.cascade([], ("c", bad)), [1], "v int")] == [("c", bad)]
+
+
+def test_sections(spark):
+    from postmill.functions.sections import Rules, heading, only_sections, paragraphs, sections_dropped, without_sections
+
+    assert [heading(x) for x in ("## About us", "**Your tasks**:", "WHAT WE OFFER", "What We Offer:", "we offer a lot here.", "- Item", "plain words here", "C++", "7")] == ["About us", "Your tasks", "WHAT WE OFFER", "What We Offer", None, None, None, "C++", None]
+    text = "Lead in, of the role.\n\n## About us\nWe are great.\n\n- and big\n\nAs an engineer you will build.\n## Tasks\nYou build many small things\nthat work.\n\n## Benefits\nLunch, for citizens only."
+    assert [(s, h) for s, h, _ in paragraphs(text)] == [(0, None), (1, "About us"), (1, "About us"), (1, "About us"), (2, "Tasks"), (3, "Benefits")]
+    rules = Rules(unwanted="about|benefit", unless="citizen", short=5)
+    assert without_sections(text, rules) == "Lead in, of the role.\n\nAs an engineer you will build.\n\nTasks\n\nYou build many small things\nthat work.\n\nLunch, for citizens only."
+    assert without_sections("no headings here.", rules) == "no headings here." and without_sections("", rules) == "" and without_sections(None, rules) is None
+    assert without_sections("## About us\n" + "x " * 200, Rules(unwanted="about")).startswith("## About us")
+    assert only_sections(text, "task") == "You build many small things\nthat work." and only_sections("plain", "task") is None
+    assert values(spark, sections_dropped(F.col("v"), rules), ["<h3>About us</h3><p>We are.</p>\n\n<h3>Tasks</h3>\nyou build it all.", None]) == ["Tasks\n\nyou build it all.", None]
