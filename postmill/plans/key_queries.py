@@ -30,7 +30,7 @@ from (select *, coalesce(case when trim(requisition_id) = '' or lower(trim(requi
 left join ats_sources s using (ats_type)"""
 )
 def n01_global_key(t: Tables) -> DataFrame:
-    s = F.broadcast(t.ats_sources.select("ats_type", "per_employer_ids"))  # one row a source
+    s = t.ats_sources.select("ats_type", "per_employer_ids")
     return t.raw_jobs.join(s, "ats_type", "left").select("row_id", K.global_key(F.col("ats_type"), F.col("requisition_id"), F.col("url"), F.col("per_employer_ids")).alias("made_key"))
 
 
@@ -41,7 +41,7 @@ def n03_host(t: Tables) -> DataFrame:
 
 @query(r"select global_id, case when coalesce(per_employer_ids, false) then regexp_extract(global_id, '^[^:]*:[^:]*:(.*)$', 1) else regexp_extract(global_id, '^[^:]*:(.*)$', 1) end as source_id from jobs left join ats_sources using (ats_type)")
 def n04_id_of_key(t: Tables) -> DataFrame:
-    s = F.broadcast(t.ats_sources.select("ats_type", "per_employer_ids"))
+    s = t.ats_sources.select("ats_type", "per_employer_ids")
     return t.jobs.join(s, "ats_type", "left").select("global_id", K.id_of(F.col("global_id"), F.col("per_employer_ids")).alias("source_id"))
 
 
@@ -72,7 +72,7 @@ def n12_shared_keys(t: Tables) -> DataFrame:
 
 @query("select count(*) as n_legacy from jobs join ats_sources using (ats_type) where per_employer_ids and not (global_id like ats_type || ':%:%')")
 def n13_legacy_keys(t: Tables) -> DataFrame:
-    s = F.broadcast(t.ats_sources.where("per_employer_ids").select("ats_type"))
+    s = t.ats_sources.where("per_employer_ids").select("ats_type")
     return t.jobs.join(s, "ats_type").where("not global_id like concat(ats_type, ':%:%')").agg(F.count("*").alias("n_legacy"))
 
 

@@ -288,7 +288,7 @@ def t01_pricing(t: Tables) -> DataFrame:
 @query("select n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(distinct o_orderkey) as n_orders from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where r_name = 'ASIA' group by 1")
 def t05_revenue_by_nation(t: Tables) -> DataFrame:
     r = t.region.where("r_name = 'ASIA'").join(t.nation, F.col("n_regionkey") == F.col("r_regionkey"))
-    c = t.customer.join(F.broadcast(r.select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))  # a fixed table
+    c = t.customer.join(r.select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
     j = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
     return j.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.countDistinct("o_orderkey").alias("n_orders"))
 
