@@ -47,11 +47,13 @@ def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(shingles: np.ndarray, segments: int = SEGMENTS, width: int = WIDTH) -> bytes:
-    """One byte for each of segments * width minhashes of distinct shingle hashes (at least one)."""
+    """One byte for each of segments * width minhashes of shingle hashes (at least one; repeated ones do no harm)."""
     a, b = _seeds(segments * width)
     low = np.full(len(a), np.uint64(2**64 - 1))
     for s in range(0, len(shingles), 4096):  # in pieces, so that a very long text needs no more memory
-        low = np.minimum(low, (shingles[s : s + 4096, None] * a + b).min(0))
+        x = shingles[s : s + 4096, None] * a
+        x += b
+        low = np.minimum(low, x.min(0))
     return (mixed(low) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
@@ -83,12 +85,19 @@ def _kernels(shingle: int, min_words: int):
         cache = WordHash()
         for b in batches:
             ids, copies, signs = [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = ascii_words(t)
-                if len(words) >= max(min_words, shingle):
+            for start in range(0, b.num_rows, 256):
+                some = b.slice(start, 256)
+                known = [(i, w) for i, w in zip(some.column(0).to_pylist(), map(ascii_words, some.column(1).to_pylist())) if len(w) >= max(min_words, shingle)]
+                if not known:
+                    continue
+                # runs over all texts end to end; those that reach into the next text are left out
+                lengths = np.array([len(w) for _, w in known])
+                runs = run_hashes(cache.array(w for _, ws in known for w in ws), shingle)
+                at = np.cumsum(lengths) - lengths
+                for (i, words), p, n in zip(known, at, lengths):
                     ids.append(i)
                     copies.append(xxhash.xxh3_128_digest(" ".join(words)))
-                    signs.append(signature(shingles(words, cache)))
+                    signs.append(signature(runs[p : p + n - shingle + 1]))
             brief = [b"".join(x[s : s + BRIEF] for s in range(0, len(x), WIDTH)) for x in signs]
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(copies, pa.binary()), pa.array(signs, pa.binary()), pa.array(brief, pa.binary())], ["id", "copy", "sig", "brief"])
 
