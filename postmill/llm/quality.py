@@ -40,68 +40,82 @@ SAMPLE_ROWS = 20_000
 LEAST_ROWS = 40
 
 _TAG = re.compile(r"<[^>]*>")
-_TOKEN = re.compile(r"\S+")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _SENTENCE = re.compile(r"[.!?…]+(?=\s|$)")
 
 
-def _running(codes: np.ndarray, bits: np.ndarray, lang: int) -> np.ndarray:
-    """Which words stand in running text of a language. codes: a number a word; bits: its languages."""
+def _kind(c: str) -> int:
+    return 1 * (not c.isalnum() and not c.isspace()) + 2 * c.isdigit() + 4 * c.isupper()
+
+
+#: The kinds of the characters of living alphabets; others are looked up one by one.
+_KINDS = np.array([_kind(chr(i)) for i in range(0x3000)], np.uint8)
+
+
+def _characters(text: str) -> tuple[int, int, int]:
+    """Number of symbols, digits and capitals."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = _KINDS[np.minimum(codes, 0x2FFF)]
+    if (far := codes >= 0x3000).any():
+        others, at = np.unique(codes[far], return_inverse=True)
+        kinds[far] = np.array([_kind(chr(c)) for c in others], np.uint8)[at]
+    return int((kinds & 1).sum()), int((kinds >> 1 & 1).sum()), int((kinds >> 2 & 1).sum())
+
+
+def _running(codes: np.ndarray, bits: np.ndarray, languages: list[int]) -> np.ndarray:
+    """Which words stand in running text of one of the languages. codes: a number a word; bits: its languages."""
     n, half = len(codes), WINDOW // 2
-    common = (bits >> lang & 1).astype(bool)
     order = np.argsort(codes, kind="stable")
     before = np.full(n, -1)
     same = codes[order][1:] == codes[order][:-1]
     before[order[1:][same]] = order[:-1][same]
     at = np.arange(n)
     lo, hi = np.maximum(0, at - half), np.minimum(n, at + half + 1)
-    total = np.r_[0, np.cumsum(common)]
-    density = (total[hi] - total[lo]) / (hi - lo)
-    distinct = np.zeros(n, np.int64)
-    for j in range(-half, half + 1):
-        p = at + j
-        inside = (p >= lo) & (p < hi)
-        p = np.where(inside, p, 0)
-        distinct += inside & common[p] & (before[p] < lo)
-    return (density >= DENSITY) & (distinct >= np.minimum(DISTINCT, (hi - lo) // 3))
+    size = hi - lo
+    # a word is the first of its kind in the windows around these positions
+    first = np.maximum(lo, np.where(before >= 0, before + half + 1, 0))
+    out = np.zeros(n, bool)
+    for lang in languages:
+        common = (bits >> lang & 1).astype(bool)
+        total = np.r_[0, np.cumsum(common)]
+        counted = common & (first < hi)
+        distinct = np.cumsum(np.bincount(first[counted], minlength=n + 1) - np.bincount(hi[counted], minlength=n + 1))[:n]
+        out |= (total[hi] - total[lo] >= DENSITY * size) & (distinct >= np.minimum(DISTINCT, size // 3))
+    return out
 
 
 def text_statistics(text: str | None) -> tuple[str, list[float]]:
     """(language, STATISTICS) of a text. A NULL or empty text has all zeros and language ''."""
     text = text or ""
     bare = _TAG.sub(" ", text) if "<" in text else text
-    tokens = _TOKEN.findall(bare)
+    tokens = bare.lower().split()
     if not tokens:
         return "", [0.0] * len(STATISTICS)
-    words = [_EDGE.sub("", t) for t in tokens]
-    lower = [w.lower() for w in words]
+    words = [t if t.isalnum() else _EDGE.sub("", t) for t in tokens]
     get = _BITS.get
-    bits = np.array([get(w) or (get(re.split("['’]", w, maxsplit=1)[0], 0) if "'" in w or "’" in w else 0) for w in lower], np.int64)
-    sizes = np.array([len(t) for t in tokens], float)
-    number: dict[str, int] = {}
-    codes = np.array([number.setdefault(w, len(number)) for w in lower], np.int64)
-    counts = [(bits >> i & 1).sum() for i in range(len(LANGUAGES))]
-    best = int(np.argmax(counts))
-    running = np.zeros(len(codes), bool)
-    for i, c in enumerate(counts):
-        if c >= max(2, 0.02 * len(codes)):
-            running |= _running(codes, bits, i)
-    chars = sum(map(len, words)) or 1
+    bits = np.array([get(w, 0) for w in words], np.int64)
+    if "'" in bare or "’" in bare:  # l'équipe, don't: the part before the apostrophe tells
+        for i, w in enumerate(words):
+            if not bits[i] and ("'" in w or "’" in w):
+                bits[i] = get(w.replace("’", "'").split("'", 1)[0], 0)
+    sizes = np.array(list(map(len, tokens)), float)
+    codes = np.array(list(map(hash, words)), np.int64)
+    counts = [int((bits >> i & 1).sum()) for i in range(len(LANGUAGES))]
+    best = max(range(len(counts)), key=counts.__getitem__)
+    running = _running(codes, bits, [i for i, c in enumerate(counts) if c >= max(2, 0.02 * len(codes))])
     total = sizes.sum()
-    lines = [x for x in (y.strip() for y in bare.split("\n")) if x]
-    real = [w for w in words if w]
+    lines = [x for x in map(str.strip, bare.split("\n")) if x]
+    n_real = len(words) - words.count("")
     stats = [
-        np.log1p(len(real)),
-        chars / max(1, len(real)),
-        sum(not c.isalnum() and not c.isspace() for c in bare) / total,
-        sum(c.isdigit() for c in bare) / total,
-        sum(c.isupper() for c in bare) / total,
+        np.log1p(n_real),
+        sum(map(len, words)) / max(1, n_real),
+        *(n / total for n in _characters(bare)),
         sum(x[-1] in ".!?…:;\"”" for x in lines) / len(lines),
         counts[best] / len(tokens),
-        float(sizes[running].sum() / total),
+        sizes[running].sum() / total,
         np.log1p(len(tokens) / len(lines)),
         np.log1p(len(tokens) / max(1, len(_SENTENCE.findall(bare)))),
-        len(number) / len(lower),
+        len(set(words)) / len(words),
         sum(map(len, _TAG.findall(text))) / len(text) if "<" in text else 0.0,
     ]
     return LANGUAGES[best] if counts[best] else "", [float(x) for x in stats]

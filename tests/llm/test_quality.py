@@ -1,6 +1,6 @@
 import numpy as np
 
-from postmill.llm.quality import STATISTICS, not_prose, prose_distances, robust_model, text_statistics
+from postmill.llm.quality import STATISTICS, _characters, not_prose, prose_distances, robust_model, text_statistics
 
 PROSE = [
     "We are looking for a nurse who can help the team with the night shift, and you will be trained by people who have been here for years.",
@@ -21,6 +21,11 @@ def test_share_of_running_text():
     assert text_statistics("and " * 200_000)[1][share] < 0.5
 
 
+def test_characters():
+    text = "Ab1 ²!ß\u4e2d\U0001f44d É٣ \ud800"
+    assert _characters(text) == (sum(not c.isalnum() and not c.isspace() for c in text), sum(c.isdigit() for c in text), sum(c.isupper() for c in text))
+
+
 def test_robust_model_ignores_a_few_wrong_rows():
     rng = np.random.default_rng(0)
     x = np.r_[rng.normal(size=(200, 3)), np.full((10, 3), 50.0)]
