@@ -43,9 +43,19 @@ def contains_text(needle: str, *columns: str) -> Column:
 
 
 def mentions(c: Column, vocabulary: list[str]) -> Column:
-    """The entries of a vocabulary that a text mentions as whole words, in the vocabulary's order."""
-    bound = lambda w: r"(?i)(?<![\p{L}\p{N}+#.])" + re.escape(w) + r"(?![\p{L}\p{N}+#])"
-    return F.filter(F.array(*[F.when(c.rlike(bound(w)), w) for w in vocabulary]), lambda x: x.isNotNull())
+    """The entries of a vocabulary that a text mentions as whole words, in the vocabulary's order.
+
+    One pass finds all entries; only one that is part of another is searched for by itself.
+    """
+    low, entries = F.lower(c), {w.lower(): w for w in vocabulary}
+    whole = lambda p: r"(?<![\p{L}\p{N}+#.])(" + p + r")(?![\p{L}\p{N}+#])"
+    apart = [w for w in entries if any(o != w and w in o for o in entries)]
+    rest = sorted((w for w in entries if w not in apart), key=lambda w: (-len(w), w))
+    hits = F.regexp_extract_all(low, F.lit(whole("|".join(map(re.escape, rest)) or r"(?!)")), 1)
+    if apart:
+        hits = F.concat(hits, F.array_compact(F.array(*[F.when(low.rlike(whole(re.escape(w))), w) for w in apart])))
+    names = F.create_map(*[F.lit(x) for kv in entries.items() for x in kv])
+    return F.transform(F.array_intersect(F.array(*[F.lit(w) for w in entries]), hits), lambda x: F.element_at(names, x))
 
 
 def in_order(wanted: Column, among: Column, present: bool = True) -> Column:

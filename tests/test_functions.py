@@ -50,6 +50,7 @@ def test_text(spark):
     assert values(spark, X.unfenced(F.col("v")), ['```json\n{"a": 1}\n```', "plain"]) == ['{"a": 1}', "plain"]
     assert values(spark, X.cleaned(F.col("v")), ["exam-\nple  text\n\n\n\nend "]) == ["example text\n\nend"]
     assert values(spark, X.mentions(F.col("v"), ["Go", "C++", "Java", "C"]), ["Java, c++ and Django", "go.", "JavaScript"]) == [["C++", "Java"], ["Go"], []]
+    assert values(spark, X.mentions(F.col("v"), ["SQL", "Spark SQL", "Spark"]), ["spark sql", "Spark", None, ""]) == [["SQL", "Spark SQL", "Spark"], ["Spark"], None, []]
     assert values(spark, X.path_segment(F.col("v"), "p", 2), ['{"p": "/job/New-York/x"}', '{"p": "/job"}', "{broken", None]) == ["New York", None, None, None]
     assert values(spark, F.col("v").rlike(X.words_pattern(["ml", "c.d"])), ["an ML job", "html", "c.d", "cxd"]) == [True, False, True, False]
 
