@@ -25,7 +25,9 @@ from postmill.session import drop_written, written
 TRADE_SHARE = 0.003
 #: Least cosine of a pair to be kept, of two groups (average linkage) to be merged, and of a form
 #: without a trade to join a group; its lead over the next group.
-KEEP, MERGE, JOIN, LEAD = 0.3, 0.5, 0.55, 0.05
+KEEP, MERGE, JOIN, LEAD = 0.3, 0.55, 0.55, 0.05
+#: Lengths of the n-grams; the longest tell names of the same syllables in another arrangement apart.
+GRAMS = (2, 3, 4)
 #: Below this cosine a pair is also compared by edits; an edit takes off three times its share of the letters.
 UNSURE = 0.65
 
@@ -110,7 +112,7 @@ def family_grams(family: str) -> Counter:
     """Character n-grams of each word and of the words run together: order and joining of parts hardly matter."""
     bag: Counter = Counter()
     for w in family.split():
-        bag.update(w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1))
+        bag.update(w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1))
         bag.update([f"^{w[:2]}"])
     return bag
 
