@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postmill.session import groups_for, written
+
 
 def quota(df: DataFrame, group: Column, order: list[Column], most: int, used: DataFrame | None = None) -> DataFrame:
     """df with takes: whether a row is within its group's most best rows, less those used already.
@@ -61,3 +63,17 @@ def running_total(df: DataFrame, group: str, order: str, value: str, name: str,
     joined = cut.join(offsets, cut[group].eqNullSafe(offsets["_g"]) & (cut["_s"] == offsets["_s2"]))
     within = Window.partitionBy(group, "_s").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return joined.withColumn(name, F.col("_o") + F.coalesce(F.sum(value).over(within), F.lit(0))).select(*df.columns, name)
+
+
+def positions(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with the place of every row, from 1, in a total order of its columns.
+
+    Rows are split into ranges of the order and numbered within each, to which the number of rows in
+    the ranges before is added, so that no task holds the whole table.
+    """
+    cut = written(df.repartitionByRange(groups_for(0, df.sparkSession), *order).withColumn("_r", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy("_r").agg(F.count("*").alias("_n"))
+    starts = sizes.select(F.col("_r").alias("_r2"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    numbered = cut.withColumn("_i", F.row_number().over(Window.partitionBy("_r").orderBy(*order)))
+    return numbered.join(F.broadcast(starts), F.col("_r") == F.col("_r2")).select(*df.columns, (F.col("_o") + F.col("_i")).cast("bigint").alias(name))

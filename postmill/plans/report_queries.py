@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from postmill.functions import numbers as N
 from postmill.operators import ranking as G
 from postmill.operators import summaries as S
+from postmill.operators.timestamps import resolve_instants
 from postmill.plans.query import Registry, Tables
+from postmill.session import written
 
 R = Registry()
 query = R.query
@@ -28,6 +30,15 @@ def _count():
     return F.count("*").alias("n")
 
 
+def _first_seen(jobs: DataFrame) -> DataFrame:
+    """jobs with seen: the instant of first_seen_at. A local time that the zone has twice is the first of both, one that it leaves out is moved on by the gap."""
+    in_zone = lambda df, zone: resolve_instants(df.withColumns({"source": F.lit("first_seen_at"), "zone": F.lit(zone), "date_order": F.lit("mdy")}), "first_seen_at", "source", "zone", "date_order")
+    at = written(in_zone(jobs, ZONE), "seen")
+    unsure = F.col("ts_status").isin("twice", "skipped")
+    walls = in_zone(at.where(unsure).select(*jobs.columns), "UTC").select(*jobs.columns, F.to_utc_timestamp(F.timestamp_micros("utc_us"), ZONE).alias("seen"))
+    return at.where(~unsure).select(*jobs.columns, F.timestamp_micros("utc_us").alias("seen")).unionByName(walls)
+
+
 @query("select coalesce(sum(row_count), 0)::bigint as n_rows, coalesce(max(row_count), 0)::bigint as largest, count(*) as n_deliveries from slice_state where snapshot_no >= 3")
 def a01_totals_since(t: Tables) -> DataFrame:
     zero = lambda c, n: F.coalesce(c, F.lit(0)).cast("bigint").alias(n)
@@ -247,9 +258,9 @@ def w13_held_back(t: Tables) -> DataFrame:
 
 @query("select global_id, row_number() over (order by score desc nulls last, global_id) as pos from jobs where date_trunc('second', scored_at) >= timestamp '2026-09-01' order by pos limit 200")
 def w15_digest(t: Tables) -> DataFrame:
-    since = t.jobs.where(F.date_trunc("second", "scored_at") >= F.lit("2026-09-01").cast("timestamp"))
-    top = since.orderBy(F.col("score").desc_nulls_last(), F.col("global_id")).limit(200)
-    return top.select("global_id", F.row_number().over(Window.orderBy(F.col("score").desc_nulls_last(), F.col("global_id"))).cast("bigint").alias("pos"))
+    seen = _first_seen(t.jobs.select("global_id", "score", "scored_at", "first_seen_at"))
+    since = seen.where(F.date_trunc("second", F.coalesce("scored_at", "seen")) >= F.lit("2026-09-01").cast("timestamp"))
+    return G.positions(since.select("global_id", "score"), [F.col("score").desc_nulls_last(), F.col("global_id")], "pos").select("global_id", "pos")
 
 
 @query("select * from (select 'strong' as section, global_id from jobs where status = 'scored' and score >= 80 union all (select 'location', global_id from jobs where status = 'excluded_location' and location_flag = 'uncertain' order by first_seen_at desc, global_id limit 25) union all select 'unsure', global_id from jobs where status = 'scored' and eligibility_flag = 'uncertain')")
