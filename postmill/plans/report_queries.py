@@ -279,8 +279,7 @@ def w18_stale(t: Tables) -> DataFrame:
 @query("select row_id, row_number() over (order by nullif(trim(location), '') is null, case when nullif(trim(location), '') is not null then location end desc, row_id) as pos from raw_jobs where batch_no = 3 order by pos limit 300")
 def w19_blanks_last(t: Tables) -> DataFrame:
     order = [G.blanks_last("location", descending=True), F.col("row_id")]
-    top = t.raw_jobs.where("batch_no = 3").orderBy(*order).limit(300)
-    return top.select("row_id", F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("pos"))
+    return G.positions(t.raw_jobs.select("row_id", "location"), order, "pos").select("row_id", "pos")
 
 
 @query("select ats_type, company, global_id, score from jobs where score is not null qualify row_number() over (partition by ats_type order by score desc, global_id) <= 3")

@@ -20,3 +20,11 @@ def test_w15_digest_has_every_job_since_the_date_unscored_last(spark, tmp_path):
     want = ["edge", *[g for g, *_ in sorted(jobs[:260], key=lambda r: (-r[1], r[0]))], "u1", "u2", "u6"]
     assert [g for _, g in sorted((r.pos, r.global_id) for r in got)] == want
     assert sorted(r.pos for r in got) == list(range(1, len(want) + 1))
+
+
+def test_w19_blanks_last_has_every_row(spark, tmp_path):
+    rows = [(i, i % 5, ("Ulm", "Köln", "Aalen")[i % 3]) for i in range(400)] + [(1000, 3, None), (1001, 3, ""), (1002, 1, "  "), (1003, 3, "Zug")]
+    got = run(spark, tmp_path, "w19_blanks_last", raw_jobs=(rows, "row_id bigint, batch_no int, location string"))
+    named = [r for _, places in (("Zug", ["Zug"]), ("Ulm", ["Ulm"]), ("K", ["Köln"]), ("A", ["Aalen"])) for r in sorted(i for i, _, x in rows if x in places)]
+    assert [r.row_id for r in sorted(got, key=lambda r: r.pos)] == named + [1000, 1001, 1002]
+    assert sorted(r.pos for r in got) == list(range(1, len(rows) + 1))
