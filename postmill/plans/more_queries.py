@@ -66,8 +66,8 @@ def w08_queue(t: Tables) -> DataFrame:
 @query("select company, n, best, row_number() over (order by best desc nulls last, n desc, lower(company) nulls last, company) as pos from (select company, count(*) as n, max(score) as best from jobs group by 1) order by pos limit 100")
 def w20_group_sort(t: Tables) -> DataFrame:
     order = [F.col("best").desc_nulls_last(), F.desc("n"), F.lower("company").asc_nulls_last(), F.col("company").asc_nulls_last()]
-    top = t.jobs.groupBy("company").agg(F.count("*").alias("n"), F.max("score").alias("best")).orderBy(*order).limit(100)
-    return top.select("company", "n", "best", F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("pos"))
+    groups = t.jobs.groupBy("company").agg(F.count("*").alias("n"), F.max("score").alias("best"))
+    return G.positions(groups, order, "pos")
 
 
 @query("select company, string_agg(global_id, ', ' order by score desc, global_id) as applied from jobs join job_state using (global_id) where state = 'applied' group by 1")

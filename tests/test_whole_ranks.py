@@ -28,3 +28,12 @@ def test_w19_blanks_last_has_every_row(spark, tmp_path):
     named = [r for _, places in (("Zug", ["Zug"]), ("Ulm", ["Ulm"]), ("K", ["Köln"]), ("A", ["Aalen"])) for r in sorted(i for i, _, x in rows if x in places)]
     assert [r.row_id for r in sorted(got, key=lambda r: r.pos)] == named + [1000, 1001, 1002]
     assert sorted(r.pos for r in got) == list(range(1, len(rows) + 1))
+
+
+def test_w20_group_sort_has_every_company_unscored_last(spark, tmp_path):
+    jobs = [(f"c{i:03}", i % 50) for i in range(150) for _ in range(1 + i % 2)] + [("b", None), ("B", None), ("a", None), ("two", None), ("two", None), (None, None)]
+    got = run(spark, tmp_path, "w20_group_sort", jobs=(jobs, "company string, score int"))
+    scored = sorted({(c, s) for c, s in jobs if s is not None}, key=lambda x: (-x[1], -sum(c == x[0] for c, _ in jobs), x[0]))
+    assert [r.company for r in sorted(got, key=lambda r: r.pos)] == [c for c, _ in scored] + ["two", "a", "B", "b", None]
+    assert sorted(r.pos for r in got) == list(range(1, 156))
+    assert {(r.company, r.n, r.best) for r in got if r.company in ("two", "c001")} == {("two", 2, None), ("c001", 2, 1)}
