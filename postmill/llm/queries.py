@@ -35,8 +35,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
-    """One row per posting: its class of near-duplicates and the number of its representative's links."""
-    return near_groups(_postings(spark, d), **SAME_POSTING)
+    """One row per posting: its class of near-duplicates and the number of its representative's links.
+
+    A posting whose text is missing or too short to be compared is a class of its own.
+    """
+    rows = _postings(spark, d)
+    own = lambda c: F.coalesce(c, "id").alias(c)
+    return rows.select("id").join(near_groups(rows, **SAME_POSTING), "id", "left").select("id", own("rep"), own("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
