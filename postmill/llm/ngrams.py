@@ -47,13 +47,18 @@ def edits(a: str, b: str, most: int) -> int:
 
 
 class GramIndex:
-    """Inverted index of weighted character n-grams over a block of names."""
+    """Inverted index of weighted character n-grams over a block of names.
 
-    def __init__(self, names: list[str]):
+    counts: how many names of all blocks have an n-gram, total: how many names there are (None: names is all).
+    """
+
+    def __init__(self, names: list[str], counts: Counter | None = None, total: int | None = None):
         self.names = names
         bags = [grams(n) for n in names]
-        self.idf: dict[str, float] = {g: float(np.log(1 + len(names) / n)) for g, n in Counter(g for b in bags for g in b).items()}
-        self.unseen = float(np.log(1 + len(names)))
+        counts = Counter(g for b in bags for g in b) if counts is None else counts
+        total = len(names) if total is None else total
+        self.idf: dict[str, float] = {g: float(np.log(1 + total / n)) for g, n in counts.items()}
+        self.unseen = float(np.log(1 + total))
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for i, bag in enumerate(bags):
             norm = np.sqrt(sum((n * self.idf[g]) ** 2 for g, n in bag.items())) or 1.0
@@ -61,8 +66,8 @@ class GramIndex:
                 postings[g].append((i, n * self.idf[g] / norm))
         self.postings = {g: (np.array([i for i, _ in p]), np.array([w for _, w in p])) for g, p in postings.items()}
 
-    def best(self, text: str, k: int = 4) -> list[tuple[float, int]]:
-        """The k names of highest weighted cosine, best first."""
+    def above(self, text: str, least: float) -> list[tuple[float, int]]:
+        """Every name of at least this weighted cosine, best first."""
         ids, weights, square = [], [], 0.0
         for g, n in grams(text).items():
             w = n * self.idf.get(g, self.unseen)
@@ -75,5 +80,5 @@ class GramIndex:
             return []
         names, at = np.unique(np.concatenate(ids), return_inverse=True)
         score = np.bincount(at, np.concatenate(weights)) / np.sqrt(square)
-        top = np.lexsort((names, -score))[:k]
-        return [(float(score[t]), int(names[t])) for t in top]
+        top = np.lexsort((names, -score))
+        return [(float(score[t]), int(names[t])) for t in top[score[top] >= least]]

@@ -9,14 +9,14 @@ margin before the next name; same-named places are told apart by the value's own
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.ngrams import GramIndex, edits, folded
+from postmill.llm.ngrams import GramIndex, edits, folded, grams
 from postmill.session import groups_for, written
 
 #: Most places in one index; a longer list is searched in blocks of this many.
@@ -59,7 +59,11 @@ class PlaceIndex:
                     by_name[k].append(place)
         self.by_name = {k: v for k, v in by_name.items() if v}
         self.names = list(self.by_name)
-        self.index = GramIndex(self.names)
+
+    def weighed(self, counts: Counter, total: int) -> PlaceIndex:
+        """This block, its index weighted by the n-grams of the names of all blocks."""
+        self.index = GramIndex(self.names, counts, total)
+        return self
 
     def candidates(self, text: str) -> list[tuple[int, float, str, list[tuple]]]:
         """(edits, cosine, name, [(place, region, country)]) of the names near text."""
@@ -67,10 +71,19 @@ class PlaceIndex:
             near = [(0, 1.0, text)]
         else:
             most = 1 if len(text) < 6 else 2 if len(text) < 9 else EDITS
-            near = [(n, score, self.names[i]) for score, i in self.index.best(text, 8) if score >= COSINE and (n := edits(text, self.names[i], most)) <= most]
+            near = [(n, score, self.names[i]) for score, i in self.index.above(text, COSINE) if (n := edits(text, self.names[i], most)) <= most]
         return [(n, score, name, [(p, *self.about[p]) for p in self.by_name[name]]) for n, score, name in near]
 
 
+def _together(found: list[list[tuple]]) -> list[tuple]:
+    """The candidates of all blocks as one list: a name once with all its places; where one is the text itself, no other."""
+    by_name: dict[str, tuple] = {}
+    for n, score, name, places in (c for near in found for c in near):
+        by_name[name] = (n, score, name, by_name[name][3] + places if name in by_name else places)
+    out = list(by_name.values())
+    return [c for c in out if c[0] == 0] or out
+
+
 class Qualifiers:
     """What tells places apart: codes and names of regions and countries. Its size is that of the sets of them."""
 
@@ -159,13 +172,16 @@ def map_places(values: DataFrame, places: DataFrame, value: str = "location") ->
     known = places.select(*fields).where(F.col("place_id").isNotNull())
     # regions and countries are as many as there are of them on earth, whatever the list's length
     qualifiers = spark.sparkContext.broadcast(Qualifiers([tuple(r) for r in known.select(*fields[2:6]).distinct().collect()]))
-    blocks, block = [], []
+    parts, block = [], []
     for r in known.orderBy("place_id").toLocalIterator():
         block.append(tuple(r))
         if len(block) == BLOCK_PLACES:
-            blocks.append(spark.sparkContext.broadcast(PlaceIndex(block)))
+            parts.append(PlaceIndex(block))
             block = []
-    blocks.append(spark.sparkContext.broadcast(PlaceIndex(block)))
+    parts.append(PlaceIndex(block))
+    names = {n for p in parts for n in p.names}
+    counts = Counter(g for n in names for g in grams(n))
+    blocks = [spark.sparkContext.broadcast(p.weighed(counts, len(names))) for p in parts]
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q = qualifiers.value
@@ -179,7 +195,7 @@ def map_places(values: DataFrame, places: DataFrame, value: str = "location") ->
                     if name not in cache:
                         if len(cache) > 200_000:
                             cache.clear()
-                        cache[name] = [c for x in blocks for c in x.value.candidates(name)]
+                        cache[name] = _together([x.value.candidates(name) for x in blocks])
                     near.append(cache[name])
                 out.append(_decide(segments, near))
             yield pd.DataFrame({"value": b["value"], "place_ids": out})
