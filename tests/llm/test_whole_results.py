@@ -1,7 +1,11 @@
 """Queries that give every row or keep every candidate, over small tables of their own."""
 
+import os
+import re
+
 from postmill.llm import places as M
 from postmill.llm import registry
+from postmill.llm.near import recall
 
 
 def test_p2_groups_has_every_posting(spark, tmp_path):
@@ -23,3 +27,10 @@ def test_p5_name_within_the_edits_behind_many_of_higher_cosine(spark, monkeypatc
     for block in (100, 2):
         monkeypatch.setattr(M, "BLOCK_PLACES", block)
         assert {r.value: r.place_ids for r in M.map_places(values, places).collect()} == want
+
+
+def test_p2_recall_stated_in_the_readme():
+    with open(os.path.join(os.path.dirname(__file__), "..", "..", "README.md"), encoding="utf-8") as f:
+        stated = re.findall(r"(0\.\d+) at (0\.\d+)", re.search(r"`recall\(\)` gives (.*)", f.read())[1])
+    assert [float(at) for _, at in stated] == [0.5, 0.55, 0.6, 0.7]
+    assert all(abs(recall(float(at)) - float(p)) < 10 ** -len(p[2:]) for p, at in stated)
