@@ -237,9 +237,10 @@ from (select o, n, n.global_id is not null and (o.global_id is null or o.status
 )
 def k01_upsert(t: Tables) -> DataFrame:
     j = t.jobs.select("global_id", "status", "score", "first_seen_at")
-    again = j.where("length(global_id) % 2 = 0").select("global_id", F.when(F.col("score").isNull(), "failed").otherwise("scored").alias("status"), (F.col("score") + 1).alias("score"), F.lit("later").alias("first_seen_at"))
-    new = t.raw_jobs.where("batch_no = 7").select("global_id").distinct().join(j, "global_id", "left_anti").select("global_id", F.lit("pending").alias("status"), F.lit(None).cast("int").alias("score"), F.lit("later").alias("first_seen_at"))
-    return U.guarded_upsert(j, again.unionByName(new), "global_id", ["first_seen_at"], "status", ["scored", "delisted"])
+    fetched = t.raw_jobs.where("global_id is not null").select("global_id").distinct().join(j.select("global_id", "score", F.lit(True).alias("known")), "global_id", "left")
+    status = F.when(F.col("known").isNull(), "pending").when(F.col("score").isNull(), "failed").otherwise("scored")
+    incoming = fetched.select("global_id", status.alias("status"), (F.col("score") + 1).alias("score"), F.lit("later").alias("first_seen_at"))
+    return U.guarded_upsert(j, incoming, "global_id", ["first_seen_at"], "status", ["scored", "delisted"])
 
 
 @query(
