@@ -1,7 +1,8 @@
 import numpy as np
 
-from postmill.llm.near import near_groups, near_pairs, recall, row_pairs, signature, variants
-from postmill.llm.words import WordHash, ascii_words, run_hashes
+from postmill.llm import near
+from postmill.llm.near import near_groups, near_pairs, recall, row_pairs, signatures, similarities, variants
+from postmill.llm.words import ascii_runs, ascii_words
 
 KW = {"threshold": 0.5, "shingle": 3, "min_words": 5}
 
@@ -52,40 +53,100 @@ def test_hot_group_of_copies_and_empty_table(spark):
 
 
 def test_one_differing_symbol_leaves_a_variant_in_common():
-    first = np.random.default_rng(4).integers(0, 256, 96).astype(np.uint8)
+    n = near.SEGMENTS * near.WIDTH
+    first = np.random.default_rng(4).integers(0, 65536, n).astype(np.uint16)
     signs = [first]
-    for at in range(96):
+    for at in range(n):
         other = first.copy()
-        other[at] = (int(other[at]) + 7) % 256
+        other[at] ^= 7
         signs.append(other)
-    keys = [set(k) for k in variants(np.array(signs).reshape(97, 16, 6)).tolist()]
-    assert all(len(k) == 96 for k in keys)
+    keys = [set(k) for k in variants(np.array(signs).reshape(n + 1, near.SEGMENTS, near.WIDTH)).tolist()]
+    assert all(len(k) == n for k in keys)
     # all segments but the differing one agree in full, the differing one in the variant without that symbol
-    assert all(len(keys[0] & k) == 91 for k in keys[1:])
+    assert all(len(keys[0] & k) == n - near.WIDTH + 1 for k in keys[1:])
 
 
-def test_pairs_of_runs_over_batches_and_blocks(monkeypatch):
-    import pyarrow as pa
+def crowd(n):
+    """Texts that all resemble each other, none like another: one hot group."""
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        words[int(rng.integers(120))] = f"own{i}"
+        rows.append((i, " ".join(words)))
+    return rows
 
-    from postmill.llm import near
 
-    rng = np.random.default_rng(5)
-    for run in (2, 5, 1000):
+def test_hot_keys_are_paired_in_blocks(spark, monkeypatch):
+    rows = crowd(70)
+    want = brute(rows)
+    assert len(want) == 70 * 69 // 2
+    for run in (7, 20, 1000):  # keys hot within a batch, hot in their group, and neither
         monkeypatch.setattr(near, "RUN", run)
-        key = np.sort(rng.integers(0, 12, 90)).astype(np.int64)
-        ids = rng.permutation(90).astype(np.int64)
-        batches = [pa.record_batch([pa.array(key[i : i + 7]), pa.array(ids[i : i + 7])], ["key", "id"]) for i in range(0, 90, 7)]
-        got = []
-        for b in near._runs(iter(batches)):
-            t = b.to_pydict()
-            got += [(x, y) for x, y in zip(t["a"], t["b"]) if x is not None]
-            jobs = pa.record_batch([b.column(2), b.column(3)], ["left", "right"]).filter(b.column(2).is_valid())
-            got += [p for c in near._blocks(iter([jobs])) for p in zip(*c.to_pydict().values())]
-        want = sorted((min(p, q), max(p, q)) for k in range(12) for x, p in enumerate(ids[key == k]) for q in ids[key == k][x + 1 :])
-        assert sorted(got) == want
-
-
-def test_recall_of_signatures():
-    assert recall(0.55) > 0.93 and recall(0.6) > 0.98 and recall(0.8) > 0.99999
-    x = run_hashes(WordHash().array([str(i) for i in range(9000)]), 3)
-    assert signature(x) == signature(x[::-1]) and len(signature(x)) == 96
+        keys = variants(np.repeat(np.arange(1, near.SEGMENTS * near.WIDTH + 1, dtype=np.uint16).reshape(1, near.SEGMENTS, near.WIDTH), 3, 0))
+        assert (keys == keys[0]).all()
+        df = spark.createDataFrame(rows, "id bigint, text string").repartition(3)
+        met = pairs_through_index(near, df, spark)
+        assert met == want
+
+
+def pairs_through_index(near, df, spark):
+    """The index' stages run here, so that a patched RUN holds in them."""
+    import pyarrow as pa
+
+    rows = [(r.id, r.text) for r in df.collect()]
+    runs, starts, known, _ = ascii_runs([t for _, t in rows], 3, 5)
+    sig = signatures(runs, starts, None)
+    ids = np.array([rows[k][0] for k in known])
+    batches = [pa.record_batch([pa.array(ids[i : i + 25]), pa.array([x.tobytes() for x in sig[i : i + 25]], pa.binary())], ["id", "sig"]) for i in range(0, len(ids), 25)]
+    index = [b for b in near._expand(5)(iter(batches))]
+    out, blocks = set(), {}
+    for g in range(5):
+        mine = [b.filter(pa.array(b.column("grp").to_numpy() == g)) for b in index]
+        for b in near._meet(5)((pa.scalar(g),), iter([b for b in mine if b.num_rows])):
+            for a, c, k, x in zip(*b.to_pydict().values()):
+                if x is None:
+                    out.add((min(a, c), max(a, c)))
+                else:
+                    blocks.setdefault(k, []).append(x)
+    for x in blocks.values():
+        jobs = [(p, q) for i, p in enumerate(x) for q in x[i:]]
+        for b in near._across(iter([pa.record_batch([pa.array([p for p, _ in jobs], pa.binary()), pa.array([q for _, q in jobs], pa.binary())], ["left", "right"])])):
+            out.update(zip(*b.to_pydict().values()))
+    return {p for p in out if near.similarities([dict(rows)[p[0]]], [dict(rows)[p[1]]], 3)[0] >= 0.5}
+
+
+def test_recall_of_signatures_at_a_similarity():
+    assert recall(0.5) > 0.9 and recall(0.6) > 0.98 and recall(0.8) > 0.99999
+    # pairs of sets of similarity 0.5: 200 shingles in common, 100 more on either side
+    rng = np.random.default_rng(7)
+    for common, own, least in ((200, 100, 0.9), (24, 12, 0.85)):
+        found = 0
+        for _ in range(300):
+            x = rng.integers(0, 2**63, common + 2 * own).astype(np.uint64)
+            runs = np.r_[x[: common + own], x[:common], x[common + own :]]
+            keys = variants(signatures(runs, np.array([0, common + own]), None))
+            found += bool(set(keys[0].tolist()) & set(keys[1].tolist()))
+        assert found / 300 > least - 0.04
+
+
+def test_signature_is_that_of_the_set_and_weights_count():
+    x = np.random.default_rng(8).integers(0, 2**64, 9000, dtype=np.uint64)
+    zero = np.array([0])
+    assert (signatures(x, zero, None) == signatures(np.r_[x[::-1], x], zero, None)).all()
+    slow = np.ones(near.BUCKETS)
+    slow[near.bucket(x[:8000])] = 1000.0
+    light = signatures(x, zero, slow)
+    assert (light == signatures(x[8000:], zero, None)).mean() > 0.9  # 3 % of the light ones share a bucket with a heavy one
+
+
+def test_similarities_and_runs_like_brute_force():
+    texts = ["a b c d e", "a b c d f", "", None, "x y", "<b>A</b> B c\u212a D e", "a b c a b c a b c"]
+    for a in texts:
+        for b in texts:
+            p, q = ({tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (ascii_words(a), ascii_words(b)))
+            assert similarities([a, "z z z"], [b, "z z z"], 3).tolist() == [len(p & q) / max(1, len(p | q)), 1.0]
+    runs, starts, known, copies = ascii_runs(texts, 3, 0)
+    assert known == [0, 1, 5, 6] and np.diff(np.r_[starts, len(runs)]).tolist() == [3, 3, 3, 7]
+    assert len(set(copies)) == 4
