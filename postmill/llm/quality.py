@@ -2,7 +2,8 @@
 
 Every statistic is computed over the whole text. Robust mean and covariance of prose come, for each
 language, from a bounded sample of labelled documents; the squared Mahalanobis distance of every
-document is reported with each statistic's share in it.
+document over all statistics is reported with each statistic's share in it. What lies beyond the
+distance that parts the labelled documents best is no prose.
 """
 
 from __future__ import annotations
@@ -30,14 +31,16 @@ for _i, _lang in enumerate(LANGUAGES):
     for _w in COMMON[_lang].split():
         _BITS[_w] = _BITS.get(_w, 0) | 1 << _i
 
-STATISTICS = ("log_words", "word_length", "symbol_ratio", "digit_ratio", "upper_ratio", "ending_share", "common_share", "prose_share", "log_line_words", "log_sentence_words", "type_ratio", "markup_ratio")
+STATISTICS = ("log_words", "word_length", "symbol_ratio", "digit_ratio", "upper_ratio", "ending_share", "common_share", "prose_share", "log_line_words", "log_sentence_words", "type_ratio")
 #: A word stands in running text if, among WINDOW words around it, at least DENSITY are common words of
 #: one language, DISTINCT different ones. Grammar needs many of them; lists, tables and strung words don't.
 WINDOW, DENSITY, DISTINCT = 13, 0.2, 3
 #: Labelled documents that the prose model is fitted on, at most.
 SAMPLE_ROWS = 20_000
-#: A language with fewer labelled prose documents uses the model of all languages together.
-LEAST_ROWS = 40
+#: Share of either tail that is drawn in before mean and scale are taken; most units of scale that a
+#: statistic counts as being off; what is added to the correlations' diagonal; rows that the model of
+#: all languages stands for in that of one.
+TAIL, REACH, RIDGE, SHRINK = 0.05, 12.0, 0.02, 40
 
 _TAG = re.compile(r"<[^>]*>")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -116,7 +119,6 @@ def text_statistics(text: str | None) -> tuple[str, list[float]]:
         np.log1p(len(tokens) / len(lines)),
         np.log1p(len(tokens) / max(1, len(_SENTENCE.findall(bare)))),
         len(set(words)) / len(words),
-        sum(map(len, _TAG.findall(text))) / len(text) if "<" in text else 0.0,
     ]
     return LANGUAGES[best] if counts[best] else "", [float(x) for x in stats]
 
@@ -134,23 +136,32 @@ def document_statistics(docs: DataFrame, doc: str = "doc_id", text: str = "text"
     return docs.select(F.col(doc).alias("doc"), F.col(text).cast("string")).mapInArrow(measure, f"doc {kind}, language string, " + ", ".join(f"{s} double" for s in STATISTICS)).withColumnRenamed("doc", doc)
 
 
-def robust_model(x: np.ndarray, keep: float = 0.75, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and inverse covariance of the closest keep of the rows, by concentration steps from median and MAD."""
-    center = np.median(x, axis=0)
-    scale = np.maximum(1.4826 * np.median(np.abs(x - center), axis=0), 1e-3)
-    d = (((x - center) / scale) ** 2).sum(1)
-    h, chosen = max(2, int(keep * len(x))), None
-    for _ in range(rounds):
-        near = np.sort(np.argsort(d, kind="stable")[:h])
-        if chosen is not None and np.array_equal(near, chosen):
-            break
-        chosen = near
-        mean, cov = x[near].mean(0), np.cov(x[near], rowvar=False) + np.diag(np.full(x.shape[1], 1e-4))
-        inverse = np.linalg.inv(cov)
-        d = np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
-    # the half that is kept is too narrow: scaled so that the median distance is that of a chi-square
-    factor = np.median(d) / _chi_square(0.5, x.shape[1])
-    return mean, inverse / max(factor, 1e-9)
+Model = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def robust_model(x: np.ndarray, pooled: Model | None = None) -> Model:
+    """Mean and scale of the rows, each statistic winsorised, and the correlation of their bounded deviations: no row weighs much, however far off it lies.
+
+    pooled: a model towards which that of few rows is shrunk, as if it stood for SHRINK rows.
+    """
+    lo, hi = np.quantile(x, TAIL, axis=0), np.quantile(x, 1 - TAIL, axis=0)
+    w = np.clip(x, lo, hi)
+    mean, scale = w.mean(0), w.std(0) + 0.01
+    z = deviations(x, (mean, scale, None))
+    model = mean, scale, z.T @ z / len(z) + RIDGE * np.eye(x.shape[1])
+    share = len(x) / (len(x) + SHRINK)
+    return model if pooled is None else tuple(share * own + (1 - share) * all_ for own, all_ in zip(model, pooled))
+
+
+def deviations(x: np.ndarray, model: Model) -> np.ndarray:
+    """Deviations from the mean in units of scale, at most REACH: capitals alone or tags alone make no text an outlier."""
+    return np.clip((x - model[0]) / model[1], -REACH, REACH)
+
+
+def parts_of(x: np.ndarray, model: Model) -> np.ndarray:
+    """Each statistic's part in the squared Mahalanobis distance; a row's parts sum to it."""
+    z = deviations(x, model)
+    return z * (z @ np.linalg.inv(model[2]))
 
 
 def _chi_square(p: float, k: int) -> float:
@@ -160,40 +171,74 @@ def _chi_square(p: float, k: int) -> float:
     return k * (1 - 2 / (9 * k) + NormalDist().inv_cdf(p) * np.sqrt(2 / (9 * k))) ** 3
 
 
-def prose_models(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """language -> model of prose, from at most sample_rows labelled documents (those of the least hash); '' is that of all languages."""
-    chosen = labels.where(F.col(doc).isNotNull()).groupBy(doc).agg(F.avg(F.when(F.col("doc_kind") == "prose", 1.0).otherwise(0.0)).alias("p")).where("p > 0.5").select(doc).orderBy(F.xxhash64(doc)).limit(sample_rows)
-    known = document_statistics(docs.join(F.broadcast(chosen), doc, "left_semi"), doc, text).toPandas()
-    models = {}
-    for language, rows in [("", known), *known.groupby("language")]:
-        if len(rows) >= (2 if language == "" else LEAST_ROWS):
-            models[language] = robust_model(rows[list(STATISTICS)].to_numpy())
-    return models
+def best_limit(distance: np.ndarray, prose: np.ndarray) -> float:
+    """The limit that tells labelled prose from the rest best.
 
-
-def prose_distances(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", certainty: float = 0.99, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    Of all limits at which at most one label more than at the best is contradicted, the one in the
+    widest gap (of logarithms) between two distances. Without other labels than prose, or with none
+    of prose, it is the chi-square quantile of 0.99.
+    """
+    order = np.argsort(distance, kind="stable")
+    d, p = np.log(np.maximum(distance[order], 1e-9)), prose[order]
+    if p.all() or not p.any():
+        return float(_chi_square(0.99, len(STATISTICS)))
+    wrong = np.cumsum(~p)[:-1] + p.sum() - np.cumsum(p)[:-1]  # others below, prose above
+    gap = np.where(wrong <= wrong.min() + 1, np.diff(d), -1.0)
+    k = int(np.argmax(gap))
+    return float(np.exp((d[k] + d[k + 1]) / 2))
+
+
+class ProseModels:
+    """A model of prose for each language ('' for all together), and the limit of the distance."""
+
+    def __init__(self, statistics: np.ndarray, language: np.ndarray, prose: np.ndarray):
+        x = statistics[prose]
+        self.models: dict[str, Model] = {}
+        if len(x) > 1:
+            self.models[""] = robust_model(x)
+            for lang in sorted(set(language[prose]) - {""}):
+                self.models[lang] = robust_model(statistics[prose & (language == lang)], self.models[""])
+        distance = self.parts(statistics, language).sum(1)
+        self.limit = best_limit(distance, prose) if self.models else float("nan")
+
+    def parts(self, x: np.ndarray, language: np.ndarray) -> np.ndarray:
+        out = np.full(x.shape, np.nan)
+        for lang in set(language):
+            if model := self.models.get(lang) or self.models.get(""):
+                at = language == lang
+                out[at] = parts_of(x[at], model)
+        return out
+
+
+def prose_models(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> ProseModels:
+    """Models and limit from at most sample_rows labelled documents (those of the least hash); a document counts as prose if most of its labels say so."""
+    chosen = labels.where(F.col(doc).isNotNull() & F.col("doc_kind").isNotNull()).groupBy(doc).agg((F.avg((F.col("doc_kind") == "prose").cast("double")) > 0.5).alias("_prose"))
+    chosen = chosen.orderBy(F.xxhash64(doc), doc).limit(sample_rows)
+    known = docs.select(doc, text).join(F.broadcast(chosen), doc)
+    stats = document_statistics(known, doc, text).join(F.broadcast(chosen), doc).toPandas()
+    return ProseModels(stats[list(STATISTICS)].to_numpy(float).reshape(len(stats), len(STATISTICS)), stats["language"].to_numpy(object), stats["_prose"].to_numpy(bool))
+
+
+def prose_distances(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", limit: float | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Statistics of every document with its squared distance from prose, each statistic's part, and is_outlier.
 
     Columns: doc, language, the STATISTICS, distance, part_<statistic> (they sum to distance; a part
-    can be negative where statistics go together), is_outlier (distance beyond the chi-square
-    quantile of certainty). A NULL or empty text is an outlier of language ''. Without any labelled
-    prose distance is NULL and every document is an outlier. Repeated rows stay repeated.
+    can be negative where statistics go together), is_outlier (distance beyond limit; None: the limit
+    that tells the labelled documents apart best). A NULL or empty text is compared as one of zeros,
+    without language. A language without labelled prose is compared with all prose together. Without
+    any labelled prose distance is NULL and every document is an outlier. Repeated rows stay repeated.
     """
-    models = docs.sparkSession.sparkContext.broadcast(prose_models(docs, labels, doc, text, sample_rows))
-    limit = float(_chi_square(certainty, len(STATISTICS)))
+    models = prose_models(docs, labels, doc, text, sample_rows)
+    if limit is not None:
+        models.limit = limit
+    shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = b[list(STATISTICS)].to_numpy(float).reshape(len(b), len(STATISTICS))
-            parts = np.full(x.shape, np.nan)
-            for language in b["language"].unique():
-                at = (b["language"] == language).to_numpy()
-                model = models.value.get(language) or models.value.get("")
-                if model:
-                    diff = x[at] - model[0]
-                    parts[at] = diff * (diff @ model[1])
+            parts = shared.value.parts(x, b["language"].to_numpy(object))
             b = b.assign(distance=parts.sum(1), **{f"part_{s}": parts[:, j] for j, s in enumerate(STATISTICS)})
-            yield b.assign(is_outlier=(b["distance"].isna() | (b["distance"] > limit)).to_numpy())
+            yield b.assign(is_outlier=(b["distance"].isna() | (b["distance"] > shared.value.limit)).to_numpy())
 
     stats = document_statistics(docs, doc, text)
     kind = stats.schema[doc].dataType.simpleString()
@@ -201,6 +246,6 @@ def prose_distances(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", tex
     return stats.mapInPandas(compare, f"{doc} {kind}, language string, {doubles}, is_outlier boolean")
 
 
-def not_prose(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", least_share: float = 0.5) -> DataFrame:
-    """(doc) of the documents that lie outside prose and of which, on inspection, less than least_share is running text."""
-    return prose_distances(docs, labels, doc, text).where(F.col("is_outlier") & (F.col("prose_share") < least_share)).select(doc)
+def not_prose(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc) of the documents whose distance from prose is beyond the limit."""
+    return prose_distances(docs, labels, doc, text).where("is_outlier").select(doc)

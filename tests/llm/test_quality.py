@@ -1,6 +1,6 @@
 import numpy as np
 
-from postmill.llm.quality import STATISTICS, _characters, not_prose, prose_distances, robust_model, text_statistics
+from postmill.llm.quality import STATISTICS, ProseModels, _characters, best_limit, not_prose, parts_of, prose_distances, robust_model, text_statistics
 
 PROSE = [
     "We are looking for a nurse who can help the team with the night shift, and you will be trained by people who have been here for years.",
@@ -29,14 +29,44 @@ def test_characters():
 def test_robust_model_ignores_a_few_wrong_rows():
     rng = np.random.default_rng(0)
     x = np.r_[rng.normal(size=(200, 3)), np.full((10, 3), 50.0)]
-    mean, inverse = robust_model(x)
-    assert np.abs(mean).max() < 0.3 and np.abs(np.diag(inverse) - 1).max() < 0.6
+    mean, scale, correlation = robust_model(x)
+    assert np.abs(mean).max() < 0.3 and np.abs(scale - 1).max() < 0.3
+    one, near = parts_of(np.array([[50.0, 0, 0], [0.5, -0.5, 0.5]]), (mean, scale, correlation)).sum(1)
+    assert one > 100 > 3 > near
+
+
+def test_few_rows_of_a_language_lean_on_all_languages():
+    rng = np.random.default_rng(1)
+    pooled = robust_model(rng.normal(size=(500, 2)))
+    few, many = robust_model(rng.normal(5, 1, (4, 2)), pooled), robust_model(rng.normal(5, 1, (4000, 2)), pooled)
+    assert few[0].max() < 1.5 and many[0].min() > 4.5
+
+
+def test_limit_parts_the_labels_in_the_widest_gap():
+    d = np.r_[np.linspace(1, 20, 50), np.linspace(400, 900, 20)]
+    prose = np.arange(70) < 50
+    assert 20 < best_limit(d, prose) < 400
+    prose[[3, 60]] = ~prose[[3, 60]]  # wrong labels
+    assert 20 < best_limit(d, prose) < 400
+    assert best_limit(d, np.ones(70, bool)) == best_limit(d, np.zeros(70, bool)) > 0
+
+
+def test_every_statistic_counts_in_the_decision():
+    rng = np.random.default_rng(2)
+    x = np.r_[rng.normal(size=(300, len(STATISTICS))), rng.normal(size=(60, len(STATISTICS))) + 6]
+    prose = np.arange(360) < 300
+    m = ProseModels(x, np.full(360, "en", object), prose)
+    assert ((m.parts(x, np.full(360, "en", object)).sum(1) > m.limit) == ~prose).all()
+    for j in range(len(STATISTICS)):  # far off in one statistic alone, each of them
+        y = np.zeros((1, len(STATISTICS)))
+        y[0, j] = 100
+        assert m.parts(y, np.array(["xx"], object)).sum() > 100
 
 
 def test_documents(spark):
     docs = [(i, PROSE[i % 4] + f" It is the {i}th." if i < 160 else OTHER[i % 6]) for i in range(190)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    labels = spark.createDataFrame([(i, "prose" if i < 160 else "list", 1) for i in range(0, 190, 2)] + [(None, "prose", 1)], "doc_id bigint, doc_kind string, rater int")
+    labels = spark.createDataFrame([(i, "prose" if i < 160 else "list", 1) for i in range(0, 190, 3)] + [(None, "prose", 1)], "doc_id bigint, doc_kind string, rater int")
     assert {r.doc_id for r in not_prose(df, labels).collect()} == set(range(160, 190))
     r = prose_distances(df, labels).collect()
     assert len(r) == 190 and all(abs(sum(x[f"part_{s}"] for s in STATISTICS) - x.distance) < 1e-6 * max(1, abs(x.distance)) for x in r)
