@@ -1,14 +1,11 @@
-"""Folded spellings, weighted character n-grams, and edit distance."""
+"""Folded spellings and edit distance."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
 from functools import lru_cache
 
-import numpy as np
-
 # Letters that Unicode doesn't decompose, as they are typed without accents.
 LETTERS = str.maketrans({"ß": "ss", "ø": "o", "đ": "d", "ł": "l", "æ": "ae", "œ": "oe"})
 _OTHER = re.compile(r"[^\w]+|_+")
@@ -21,11 +18,6 @@ def folded(text: str) -> str:
     return _OTHER.sub(" ", "".join(c for c in text if not unicodedata.combining(c))).strip()
 
 
-def grams(text: str, sizes: tuple[int, ...] = (2, 3)) -> Counter:
-    padded = f" {text} "
-    return Counter(padded[i : i + n] for n in sizes for i in range(len(padded) - n + 1))
-
-
 def edits(a: str, b: str, most: int) -> int:
     """Edits (insertion, deletion, substitution, swap of neighbours) from a to b; most + 1 if there are more."""
     if abs(len(a) - len(b)) > most:
@@ -44,41 +36,3 @@ def edits(a: str, b: str, most: int) -> int:
             return most + 1
         before, row = row, new
     return min(row[-1], most + 1)
-
-
-class GramIndex:
-    """Inverted index of weighted character n-grams over a block of names.
-
-    counts: how many names of all blocks have an n-gram, total: how many names there are (None: names is all).
-    """
-
-    def __init__(self, names: list[str], counts: Counter | None = None, total: int | None = None):
-        self.names = names
-        bags = [grams(n) for n in names]
-        counts = Counter(g for b in bags for g in b) if counts is None else counts
-        total = len(names) if total is None else total
-        self.idf: dict[str, float] = {g: float(np.log(1 + total / n)) for g, n in counts.items()}
-        self.unseen = float(np.log(1 + total))
-        postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        for i, bag in enumerate(bags):
-            norm = np.sqrt(sum((n * self.idf[g]) ** 2 for g, n in bag.items())) or 1.0
-            for g, n in bag.items():
-                postings[g].append((i, n * self.idf[g] / norm))
-        self.postings = {g: (np.array([i for i, _ in p]), np.array([w for _, w in p])) for g, p in postings.items()}
-
-    def above(self, text: str, least: float) -> list[tuple[float, int]]:
-        """Every name of at least this weighted cosine, best first."""
-        ids, weights, square = [], [], 0.0
-        for g, n in grams(text).items():
-            w = n * self.idf.get(g, self.unseen)
-            square += w * w
-            if g in self.postings:
-                i, v = self.postings[g]
-                ids.append(i)
-                weights.append(v * w)
-        if not ids:
-            return []
-        names, at = np.unique(np.concatenate(ids), return_inverse=True)
-        score = np.bincount(at, np.concatenate(weights)) / np.sqrt(square)
-        top = np.lexsort((names, -score))
-        return [(float(score[t]), int(names[t])) for t in top[score[top] >= least]]

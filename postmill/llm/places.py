@@ -2,30 +2,34 @@
 
 Distinct values are split into the places they list; what qualifies a place (regions, countries,
 postal codes, work modes) is set apart; the rest is looked up in an inverted index of weighted
-character n-grams. A candidate is accepted above a cosine, within a number of edits, and with a
-margin before the next name; same-named places are told apart by the value's own qualifiers.
+character n-grams. A candidate is accepted above a cosine and with a margin before the next name, if edits confirm it;
+same-named places are told apart by the value's own qualifiers.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.ngrams import GramIndex, edits, folded, grams
+from postmill.llm.cosine import character_grams, cosine_pairs, weighting
+from postmill.llm.ngrams import edits, folded
 from postmill.session import groups_for, written
 
-#: Most places in one index; a longer list is searched in blocks of this many.
-BLOCK_PLACES = 100_000
 #: Most distinct values whose mapping is broadcast back to the rows.
 BROADCAST_VALUES = 200_000
-#: Least weighted cosine of a candidate, most edits it may need, and least lead in cosine over
-#: another name that needs as many edits.
-COSINE, EDITS, MARGIN = 0.1, 3, 0.05
+#: Least weighted cosine of a name, and least lead over another one; a name typed as listed needs no lead.
+COSINE, MARGIN, EXACT = 0.6, 0.01, 1.0
+#: Most edits that an accepted name may need: an exact check, which alone accepts nothing.
+EDITS = 3
+#: Power of the logarithmic weight of rarity: low, as a typing error makes rare n-grams.
+POWER = 0.1
 
 # Words around a place that say nothing about which one it is.
 NOISE = {"remote", "office", "hq", "headquarters", "hybrid", "onsite", "metro", "area", "region", "building", "bldg", "floor", "suite", "only", "based", "in", "near", "site", "on", "campus", "downtown", "usa", "us", "united", "states", "america"}
@@ -46,42 +50,11 @@ def _spelled(words: list[str]) -> list[str]:
     return [SHORT.get(words[0], words[0]), *words[1:]] if len(words) > 1 else words
 
 
-class PlaceIndex:
-    """The names of one block of places, and what qualifies each."""
-
-    def __init__(self, rows: list[tuple]):
-        by_name: dict[str, list[int]] = defaultdict(list)
-        self.about: dict[int, tuple] = {}
-        for place, city, region, region_name, iso, country, also in rows:
-            self.about[place] = (region, iso)
-            for name in (city, also):
-                if name and _key(name) and place not in by_name[k := _key(" ".join(_spelled(folded(name).split())))]:
-                    by_name[k].append(place)
-        self.by_name = {k: v for k, v in by_name.items() if v}
-        self.names = list(self.by_name)
-
-    def weighed(self, counts: Counter, total: int) -> PlaceIndex:
-        """This block, its index weighted by the n-grams of the names of all blocks."""
-        self.index = GramIndex(self.names, counts, total)
-        return self
-
-    def candidates(self, text: str) -> list[tuple[int, float, str, list[tuple]]]:
-        """(edits, cosine, name, [(place, region, country)]) of the names near text."""
-        if text in self.by_name:
-            near = [(0, 1.0, text)]
-        else:
-            most = 1 if len(text) < 6 else 2 if len(text) < 9 else EDITS
-            near = [(n, score, self.names[i]) for score, i in self.index.above(text, COSINE) if (n := edits(text, self.names[i], most)) <= most]
-        return [(n, score, name, [(p, *self.about[p]) for p in self.by_name[name]]) for n, score, name in near]
-
-
-def _together(found: list[list[tuple]]) -> list[tuple]:
-    """The candidates of all blocks as one list: a name once with all its places; where one is the text itself, no other."""
-    by_name: dict[str, tuple] = {}
-    for n, score, name, places in (c for near in found for c in near):
-        by_name[name] = (n, score, name, by_name[name][3] + places if name in by_name else places)
-    out = list(by_name.values())
-    return [c for c in out if c[0] == 0] or out
+def _names(rows: pd.DataFrame) -> Iterator[tuple[str, int]]:
+    """(name as compared, place_id) of places by city and also_called."""
+    for place, city, also in zip(rows["place_id"], rows["city"], rows["also_called"]):
+        names = {_key(" ".join(_spelled(folded(n).split()))) for n in (city, also) if isinstance(n, str) and _key(n)}
+        yield from ((n, place) for n in sorted(names))
 
 
 class Qualifiers:
@@ -138,21 +111,30 @@ def _segments(value: str, q: Qualifiers) -> list[tuple[str, list[set[tuple]]]]:
     return out
 
 
-def _decide(segments: list[tuple[str, list]], candidates: list[list[tuple]]) -> list[int]:
-    """The places that a value lists, 0 for none or for one of several of the same name."""
+@lru_cache(maxsize=100_000)
+def _confirmed(text: str, name: str) -> bool:
+    most = 1 if len(text) < 6 else 2 if len(text) < 9 else EDITS
+    return edits(text, name, most) <= most
+
+
+def _decide(segments: list[list], near: dict[int, list[tuple]]) -> list[int]:
+    """The places that a value lists, 0 for none or for one of several of the same name.
+
+    segments: (name, qualifiers); near: of each segment, by number, (cosine, name, place, region, country).
+    """
     places, unclear = [], False
-    for (_, qualifiers), near in zip(segments, candidates):
-        fitting = [(n, -score, name, [p for p in ps if _fits(p, qualifiers)]) for n, score, name, ps in near]
-        fitting = sorted(x for x in fitting if x[3])
-        if not fitting:
+    for number, (text, qualifiers) in enumerate(segments):
+        by_name: dict[str, tuple[float, set[int]]] = {}
+        for score, name, *place in near.get(number, ()):
+            if _fits(tuple(place), qualifiers) and _confirmed(text, name):
+                by_name.setdefault(name, (score, set()))[1].add(place[0])
+        fitting = sorted(((score, name, ids) for name, (score, ids) in by_name.items()), key=lambda x: (-x[0], x[1]))
+        if not fitting or (len(fitting) > 1 and fitting[0][0] < EXACT and fitting[0][0] - fitting[1][0] < MARGIN):
             continue
-        if len(fitting) > 1 and fitting[1][0] == fitting[0][0] and fitting[1][1] - fitting[0][1] < MARGIN:
-            continue
-        ids = {p[0] for p in fitting[0][3]}
-        if len(ids) > 1:
+        if len(fitting[0][2]) > 1:
             unclear = True
         else:
-            places.append(ids.pop())
+            places += fitting[0][2]
     return sorted(set(places)) + ([0] if unclear or not places else [])
 
 
@@ -160,47 +142,57 @@ def map_places(values: DataFrame, places: DataFrame, value: str = "location") ->
     """(value, place_ids) for every distinct value that is not NULL or blank; [0] where none is found.
 
     places has place_id, city, region_code, region_name, country_iso, country_name, also_called; NULLs
-    in any of them match nothing. Its rows go to the workers in blocks of at most BLOCK_PLACES; the
-    result is the same for any number of blocks. Very long values are searched whole. An empty list
-    of places gives [0] for every value, an empty table of values an empty result.
+    in any of them match nothing. A name is accepted if its weighted cosine is at least COSINE and
+    exceeds that of every other name so near that fits the value's region and country by MARGIN; weights come
+    from all names of the list; EDITS confirms. Values and names meet in a join on n-grams, so that neither list has
+    to fit anywhere as a whole. Very long values are searched whole. An empty list of places gives [0]
+    for every value, an empty table of values an empty result.
     """
     spark = values.sparkSession
     distinct = values.select(F.col(value).cast("string").alias("value")).where(F.col("value").isNotNull() & (F.trim("value") != "")).distinct()
     # few bytes but much work a value: keep all cores busy
     distinct = distinct.repartition(groups_for(0, spark))
-    fields = ["place_id", "city", "region_code", "region_name", "country_iso", "country_name", "also_called"]
-    known = places.select(*fields).where(F.col("place_id").isNotNull())
+    known = places.where(F.col("place_id").isNotNull())
     # regions and countries are as many as there are of them on earth, whatever the list's length
-    qualifiers = spark.sparkContext.broadcast(Qualifiers([tuple(r) for r in known.select(*fields[2:6]).distinct().collect()]))
-    parts, block = [], []
-    for r in known.orderBy("place_id").toLocalIterator():
-        block.append(tuple(r))
-        if len(block) == BLOCK_PLACES:
-            parts.append(PlaceIndex(block))
-            block = []
-    parts.append(PlaceIndex(block))
-    names = {n for p in parts for n in p.names}
-    counts = Counter(g for n in names for g in grams(n))
-    blocks = [spark.sparkContext.broadcast(p.weighed(counts, len(names))) for p in parts]
-
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = qualifiers.value
-        cache: dict[str, list] = {}
+    q = Qualifiers([tuple(r) for r in known.select("region_code", "region_name", "country_iso", "country_name").distinct().collect()])
+    qualifiers = spark.sparkContext.broadcast(q)
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [_segments(v, qualifiers.value) for v in b["value"]]
+            names = [[n for n, _ in f] for f in found]
+            yield pd.DataFrame({"value": b["value"], "names": names, "qualifiers": [json.dumps([[n, [sorted(q) for q in x]] for n, x in f]) for f in found]})
+
+    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame(list(_names(b)), columns=["text", "place_id"])
+
+    parsed = written(distinct.mapInPandas(parse, "value string, names array<string>, qualifiers string"), "values")
+    own = written(known.select("place_id", "city", "also_called").mapInPandas(name, "text string, place_id bigint").distinct(), "places")
+    listed = own.select("text").distinct().select(F.xxhash64("text").alias("id"), "text")
+    typed = parsed.select(F.explode("names").alias("text")).distinct().select(F.xxhash64("text").alias("id"), "text")
+    # a name of the list itself is that name, and no other
+    unlike = typed.join(listed, "id", "left_anti")
+    same = typed.join(listed.select("id"), "id").select("id", F.col("id").alias("b"), F.lit(1.0).alias("sim"))
+    near = same.unionAll(cosine_pairs(unlike, listed, weighting(listed, character_grams, POWER), COSINE).select(F.col("a").alias("id"), "b", "sim"))
+    about = known.select("place_id", "region_code", "country_iso").distinct()
+    about = own.join(about, "place_id").select(F.xxhash64("text").alias("b"), F.struct("text", "place_id", "region_code", "country_iso").alias("p"))
+    candidates = near.join(about, "b").select("id", F.struct("sim", "p.*").alias("c"))
+    segments = parsed.select("value", "qualifiers", F.posexplode_outer("names").alias("number", "text")).withColumn("id", F.xxhash64("text"))
+    # of one value, as many as its names have candidates above the cosine
+    gathered = segments.join(candidates, "id", "left").groupBy("value").agg(F.first("qualifiers").alias("qualifiers"), F.collect_list(F.when(F.col("c").isNotNull(), F.struct("number", "c.*"))).alias("near"))
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for v in b["value"]:
-                segments = _segments(v, q)
-                near = []
-                for name, _ in segments:
-                    if name not in cache:
-                        if len(cache) > 200_000:
-                            cache.clear()
-                        cache[name] = _together([x.value.candidates(name) for x in blocks])
-                    near.append(cache[name])
-                out.append(_decide(segments, near))
+            for packed, found in zip(b["qualifiers"], b["near"]):
+                near = defaultdict(list)
+                for c in found:
+                    near[c["number"]].append((c["sim"], c["text"], c["place_id"], c["region_code"], c["country_iso"]))
+                out.append(_decide(json.loads(packed), near))
             yield pd.DataFrame({"value": b["value"], "place_ids": out})
 
-    return distinct.mapInPandas(look, "value string, place_ids array<bigint>")
+    return gathered.mapInPandas(decide, "value string, place_ids array<bigint>")
 
 
 def placed(rows: DataFrame, places: DataFrame, value: str = "location") -> DataFrame:

@@ -1,4 +1,3 @@
-from postmill.llm import places as M
 from postmill.llm.places import map_places, placed
 
 PLACES = "place_id bigint, city string, region_code string, region_name string, country_iso string, country_name string, also_called string"
@@ -13,14 +12,13 @@ CASES = {
 }
 
 
-def test_cases(spark, monkeypatch):
+def test_cases(spark):
     places = spark.createDataFrame(ROWS, PLACES)
     values = spark.createDataFrame([(v, i) for i, v in enumerate([*CASES, None, "", "  ", "Remote"])], "location string, n int")
     assert {r.value: r.place_ids for r in map_places(values, places).collect()} == CASES
     rows = placed(values.withColumnRenamed("n", "value"), places).collect()
     assert len(rows) == len(CASES) + 4 and sum(r.place_ids is None for r in rows) == 3
-    monkeypatch.setattr(M, "BLOCK_PLACES", 2)
-    assert {r.value: r.place_ids for r in map_places(values, places).collect()} == CASES
+    assert {r.value: r.place_ids for r in map_places(values, places.repartition(5)).collect()} == CASES
 
 
 def test_empty(spark):

@@ -17,16 +17,15 @@ def test_p2_groups_has_every_posting(spark, tmp_path):
     assert got == {(1, 1, 1, 1), (2, 1, 1, 1), (3, 3, 1, 1), *[(i, i, i, 0) for i in (4, 5, 6, 7, 8)]}
 
 
-def test_p5_name_within_the_edits_behind_many_of_higher_cosine(spark, monkeypatch):
+def test_p5_name_within_the_edits_behind_many_of_higher_cosine(spark):
     fields = "place_id bigint, city string, region_code string, region_name string, country_iso string, country_name string, also_called string"
     rows = [(1, "Brokenhaven"), *[(i + 2, "Brokfnhvaen" + x) for i, x in enumerate(("dusk", "lint", "marc", "poly", "quiz", "rhum", "stow", "tulp", "vexi", "wyrd", "zebu", "glib"))]]
     rows += [(20, "Stoveminster", "TX"), (21, "Ondrangate"), (22, "Stoveminster", "MI")]
     places = spark.createDataFrame([(*r, *[None] * (7 - len(r))) for r in rows], fields)
     want = {"Brokfnhvaen": [1], "Stoveminster / Ondrangate": [21, 0], "Stoveminster": [0], "Ondrangaet": [21]}
     values = spark.createDataFrame([(v,) for v in want], "location string")
-    for block in (100, 2):
-        monkeypatch.setattr(M, "BLOCK_PLACES", block)
-        assert {r.value: r.place_ids for r in M.map_places(values, places).collect()} == want
+    for parts in (1, 7):
+        assert {r.value: r.place_ids for r in M.map_places(values, places.repartition(parts)).collect()} == want
 
 
 def test_p2_recall_stated_in_the_readme():
