@@ -1,23 +1,26 @@
 """New batches checked against all history by immutable suffix arrays.
 
 Each batch becomes a segment: its records' texts end to end as words, and the suffix array over them.
-A batch's substrings of min_words words are looked up by binary search in the segments of the batches
-before it, and the covered words are summed up per record. Segments never change; two of like size
-are merged into one, so there are at most about log2(batches) of them. Segments are sharded by a
-hash of the records' first words if records are keys (one word each), so a batch meets only its shard.
+A batch's substrings are looked up by binary search in the segments of the batches before it, and the
+covered words are summed up per record. Segments never change; two of like size are merged into one,
+so there are at most about log2(batches) of them, and a record is rewritten as often. In tables
+(History) a suffix is known by the hash of the run of words that it begins with, and the suffixes of
+a segment are sharded by it, so that a batch's runs meet only their shards.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.session import GROUP_ROWS, groups_for
+from postmill.llm.words import ascii_runs
+from postmill.session import GROUP_ROWS, drop_written, written
 
 _END = np.uint64(0)
 
@@ -132,15 +135,6 @@ def covered(batch: Segment, history: list[Segment]) -> pd.DataFrame:
     return out.assign(best=best.reindex(range(len(lengths)), fill_value=-1).to_numpy(), best_share=most.reindex(range(len(lengths)), fill_value=0).to_numpy() / np.maximum(lengths, 1))
 
 
-def _with(history: list[Segment], new: Segment) -> list[Segment]:
-    """history and a new segment; segments of like size are merged."""
-    out = [*history, new]
-    while len(out) > 1 and len(out[-1].words) * 2 > len(out[-2].words):
-        b, a = out.pop(), out.pop()
-        out.append(a.merged(b))
-    return out
-
-
 def _first_keys(keys: np.ndarray, rows: np.ndarray, history: list[Segment]) -> np.ndarray:
     """For each key of a batch: the row that history has under it, or the batch's own row."""
     batch, first = Segment.of_keys(keys, rows), rows.copy()
@@ -152,60 +146,145 @@ def _first_keys(keys: np.ndarray, rows: np.ndarray, history: list[Segment]) -> n
     return first
 
 
-def first_rows(keys: DataFrame, rows_per_group: int = GROUP_ROWS) -> DataFrame:
-    """(key, first_row) for keys (key bigint, batch int, row bigint): the lowest row of the key.
+_SEGMENT = "shard bigint, words binary, starts binary, records binary, sorted binary"
+_PACKED = "shard bigint, keys binary, rows binary"
+#: Most keys of a batch that are broadcast to the segments; beyond, both are shuffled by shard.
+BROADCAST_KEYS = 1_000_000
 
-    Batches are folded in order, each against the segments of those before it. A NULL key is no key.
-    A key repeated in very many rows is combined map-side to one record a batch.
-    """
-    per_batch = keys.where("key is not null and key != 0").groupBy("key", "batch").agg(F.min("row").alias("row"))
-    n = groups_for(keys.count(), keys.sparkSession, rows_per_group)
 
-    def fold(table: pa.Table) -> pa.Table:
-        t = table.select(["key", "batch", "row"]).to_pandas().sort_values(["batch", "key"])
-        history: list[Segment] = []
-        out = []
-        for _, b in t.groupby("batch", sort=True):
-            k, r = b["key"].to_numpy().view(np.uint64), b["row"].to_numpy()
-            first = _first_keys(k, r, history)
-            new = first == r
-            out.append((k[new].view(np.int64), r[new]))
-            if new.any():
-                history = _with(history, Segment.of_keys(k[new], r[new]))
-        k, r = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64))
-        return pa.table({"key": pa.array(k), "first_row": pa.array(r)})
+def _build(key: tuple, t: pa.Table) -> pa.Table:
+    """Rows (key, row) of a shard -> its segment, one row."""
+    k, r = t.column("key").to_numpy(), t.column("row").to_numpy()
+    order = np.argsort(k, kind="stable")
+    s = Segment.of_keys(k[order].view(np.uint64), r[order])
+    return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), **{n: pa.array([x.tobytes()], pa.binary()) for n, x in (("words", s.words), ("starts", s.starts), ("records", s.records), ("sorted", s.order))}})
+
+
+def _pack(key: tuple, t: pa.Table) -> pa.Table:
+    return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "keys": pa.array([t.column("key").to_numpy().tobytes()], pa.binary()), "rows": pa.array([t.column("row").to_numpy().tobytes()], pa.binary())})
+
 
-    found = per_batch.withColumn("shard", F.pmod("key", F.lit(n))).groupBy("shard").applyInArrow(fold, "key bigint, first_row bigint")
-    return found.groupBy("key").agg(F.min("first_row").alias("first_row"))
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A segment's shard and a batch's keys of that shard -> (key, row, first_row) of the keys that both have."""
+    for b in batches:
+        for words, starts, records, order, keys, rows in zip(*(b.column(c).to_pylist() for c in ("words", "starts", "records", "sorted", "keys", "rows"))):
+            seg = Segment(np.frombuffer(words, np.uint64), np.frombuffer(starts, np.int64), np.frombuffer(records, np.int64), 1, np.frombuffer(order, np.int64))
+            k, r = np.frombuffer(keys, np.int64), np.frombuffer(rows, np.int64)
+            at, hi = seg.find(k.view(np.uint64), np.arange(len(k)))
+            hit = hi > at
+            yield pa.record_batch([pa.array(k[hit]), pa.array(r[hit]), pa.array(seg.records[seg.record_at(seg.order[at[hit]])])], ["key", "row", "first_row"])
 
 
-#: A stored segment: one row of a shard's history.
-SEGMENT_SCHEMA = "shard bigint, seg int, words binary, starts binary, records binary, sorted binary"
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for words, records in zip(b.column("words").to_pylist(), b.column("records").to_pylist()):
+            yield pa.record_batch([pa.array(np.frombuffer(words, np.int64)[::2]), pa.array(np.frombuffer(records, np.int64))], ["key", "row"])
+
+
+class History:
+    """All that is accepted, as segments in tables of the shared folder.
+
+    A key is in it once, with the row that brought it. accept() looks a batch up, adds what is new as
+    one more segment, and merges segments of like size; no other segment is written again, and none
+    is sorted again. Other stores of (path, size) pairs can be taken up by assigning segments.
+    """
+
+    def __init__(self, spark: SparkSession, rows_per_shard: int = GROUP_ROWS):
+        self.spark, self.rows_per_shard = spark, rows_per_shard
+        self.segments: list[tuple[DataFrame, int, int]] = []  # table, shards, keys
+
+    def _shards(self, n: int) -> int:
+        return max(1, -(-n // self.rows_per_shard))
+
+    def _segment(self, keys: DataFrame, n: int) -> tuple[DataFrame, int, int]:
+        shards = self._shards(n)
+        table = keys.select(F.pmod("key", F.lit(shards)).alias("shard"), "key", "row").groupBy("shard").applyInArrow(_build, _SEGMENT)
+        return written(table, "segment"), shards, n
+
+    def find(self, keys: DataFrame, n: int) -> DataFrame:
+        """(key, row, first_row) of the keys (key, row), n of them, that history has."""
+        hits = self.spark.createDataFrame([], "key bigint, row bigint, first_row bigint")
+        for table, shards, _ in self.segments:
+            packed = keys.select(F.pmod("key", F.lit(shards)).alias("shard"), "key", "row").groupBy("shard").applyInArrow(_pack, _PACKED)
+            hits = hits.unionAll(table.join(F.broadcast(packed) if n <= BROADCAST_KEYS else packed, "shard").mapInArrow(_search, "key bigint, row bigint, first_row bigint"))
+        return hits
+
+    def accept(self, batch: DataFrame) -> DataFrame:
+        """(key, first_row) for every key of a batch (key bigint, row bigint): the row that history has under it, else the batch's lowest.
+
+        NULL keys and zeros are no keys. A key repeated in very many rows is combined map-side first.
+        """
+        keys = written(batch.where("key is not null and key != 0").groupBy("key").agg(F.min("row").alias("row")), "batch")
+        n = keys.count()
+        if not n:
+            return keys.select("key", F.col("row").alias("first_row"))
+        known = written(self.find(keys, n), "known") if self.segments else None
+        new = keys if known is None else keys.join(known.select("key"), "key", "left_anti")
+        added = n if known is None else n - known.count()
+        first = keys.select("key", F.col("row").alias("first_row")) if known is None else keys.join(known.select("key", "first_row"), "key", "left").select("key", F.coalesce("first_row", "row").alias("first_row"))
+        if added:
+            self.segments.append(self._segment(new, added))
+        while len(self.segments) > 1 and self.segments[-1][2] * 2 > self.segments[-2][2]:
+            b, a = self.segments.pop(), self.segments.pop()
+            both = a[0].unionByName(b[0]).select("words", "records").mapInArrow(_rows_of, "key bigint, row bigint")
+            self.segments.append(self._segment(both, a[2] + b[2]))
+            drop_written(a[0])
+            drop_written(b[0])
+        return first
+
+
+def first_rows(keys: DataFrame, rows_per_shard: int = GROUP_ROWS) -> DataFrame:
+    """(key, batch, first_row) for keys (key bigint, batch int, row bigint): the row that brought the key.
+
+    Batch after batch, in order, is looked up in the history of those before it and added to it: work
+    follows the batches, not what lies before them.
+    """
+    history, found = History(keys.sparkSession, rows_per_shard), []
+    for r in keys.select("batch").where("batch is not null").distinct().orderBy("batch").collect():
+        found.append(history.accept(keys.where(F.col("batch") == r["batch"])).withColumn("batch", F.lit(r["batch"]).cast("int")))
+    empty = keys.sparkSession.createDataFrame([], "key bigint, first_row bigint, batch int")
+    return reduce(DataFrame.unionByName, found, empty).select("key", "batch", "first_row")
 
 
-def accept_batch(history: DataFrame | None, batch: DataFrame, shards: int) -> DataFrame:
-    """One batch of keys (key bigint, row bigint) against stored history; nothing before it is read anew.
+def covered_rows(texts: DataFrame, min_words: int = 12, rows_per_shard: int = GROUP_ROWS) -> DataFrame:
+    """(row_id, share, best_row_id, best_runs) for the rows of every batch but the first that hold a text.
 
-    Result: rows of kind 'match' (key, row, first_row) and of kind 'segment' (the shard's history after
-    the batch, to be stored as the next call's history). history is None for the first batch.
+    texts: row_id bigint, batch int, text. share: how much of the text's words (runs of a-z and 0-9,
+    each <...> a space) lie in runs of min_words words that a row of an earlier batch holds;
+    best_row_id: the row that brought most of these runs (of several the lowest), NULL if there are
+    none; best_runs: how many. Runs within one batch don't count. NULL, empty and shorter texts have
+    a share of 0. Batches are taken in order, each against segments of those before it.
     """
-    out_schema = f"kind string, key bigint, row bigint, first_row bigint, {SEGMENT_SCHEMA}"
-    keyed = batch.where("key is not null and key != 0").groupBy("key").agg(F.min("row").alias("row")).withColumn("shard", F.pmod("key", F.lit(shards)))
-    spark = batch.sparkSession
-    history = spark.createDataFrame([], SEGMENT_SCHEMA) if history is None else history.where("kind = 'segment'").select("shard", "seg", "words", "starts", "records", "sorted")
-
-    def accept(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        old = [Segment(np.frombuffer(r.words, np.uint64), np.frombuffer(r.starts, np.int64), np.frombuffer(r.records, np.int64), 1, np.frombuffer(r.sorted, np.int64)) for r in left.sort_values("seg").itertuples()]
-        right = right.sort_values("key")
-        k, r = right["key"].to_numpy(np.int64).view(np.uint64), right["row"].to_numpy(np.int64)
-        first = _first_keys(k, r, old) if len(k) else r
-        new = first == r
-        after = _with(old, Segment.of_keys(k[new], r[new])) if new.any() else old
-        shard = int((left if len(left) else right)["shard"].iloc[0])
-        matches = pd.DataFrame({"kind": "match", "key": k.view(np.int64)[~new], "row": r[~new], "first_row": first[~new], "shard": shard})
-        segments = pd.DataFrame([{"kind": "segment", "shard": shard, "seg": i, "words": s.words.tobytes(), "starts": s.starts.tobytes(), "records": s.records.tobytes(), "sorted": s.order.tobytes()} for i, s in enumerate(after)])
-        cols = [c.split()[0] for c in out_schema.split(", ")]
-        both = pd.concat([matches.reindex(columns=cols).astype(object), segments.reindex(columns=cols).astype(object)])
-        return both.where(both.notna(), None)
-
-    return history.groupBy("shard").cogroup(keyed.groupBy("shard")).applyInPandas(accept, out_schema)
+    spark = texts.sparkSession
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, 256):
+                some = b.slice(s, 256)
+                hashes, starts, known, _ = ascii_runs(some.column(2).to_pylist(), min_words, min_words)
+                n = np.diff(np.r_[starts, len(hashes)])
+                at = pa.array(np.repeat(np.asarray(known, np.int64), n))
+                pos = np.arange(len(hashes)) - np.repeat(starts, n)
+                yield pa.record_batch([some.column(0).take(at), some.column(1).take(at), pa.array(pos.astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(np.repeat(n, n).astype(np.int32))], ["row", "batch", "pos", "key", "n"])
+
+    base = texts.where("row_id is not null and batch is not null").select("row_id", "batch", "text")
+    history, out = History(spark, rows_per_shard), []
+    batches = [r["batch"] for r in base.select("batch").distinct().orderBy("batch").collect()]
+    for i, batch in enumerate(batches):
+        found = base.where(F.col("batch") == batch).mapInArrow(runs, "row bigint, batch int, pos int, key bigint, n int")
+        held = written(found, "runs")
+        first = written(history.accept(held.select("key", "row")), "firsts")
+        if i:
+            # what the batch itself brought isn't history
+            mine = held.select("row").distinct()
+            old = first.join(mine.withColumnRenamed("row", "first_row"), "first_row", "left_anti")
+            hits = held.join(old, "key")
+            gaps = F.sort_array(F.collect_set("pos"))
+            words = F.aggregate(F.transform(F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))), lambda x, k: F.least(x - gaps[k], F.lit(min_words))), F.lit(min_words), lambda x, y: x + y)
+            share = hits.groupBy("row").agg((words / (F.max("n") + min_words - 1)).alias("share"))
+            best = hits.groupBy("row", "first_row").agg(F.count_distinct("pos").alias("c")).groupBy("row").agg(F.max(F.struct("c", (-F.col("first_row")).alias("f"))).alias("m"))
+            out.append(written(share.join(best, "row").select(F.col("row").alias("row_id"), "share", (-F.col("m.f")).alias("best_row_id"), (F.col("m.c")).cast("int").alias("best_runs")), "covered"))
+        drop_written(held)
+    empty = spark.createDataFrame([], "row_id bigint, share double, best_row_id bigint, best_runs int")
+    later = base.where(F.col("batch") > F.lit(batches[0] if batches else 0)).select("row_id")
+    return later.join(reduce(DataFrame.unionByName, out, empty), "row_id", "left").select("row_id", F.coalesce("share", F.lit(0.0)).alias("share"), "best_row_id", F.coalesce("best_runs", F.lit(0)).alias("best_runs"))

@@ -10,26 +10,27 @@ family names) then join the one group that they resemble.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from postmill.llm.cosine import cosine_pairs, weighting
 from postmill.llm.ngrams import edits, folded
 from postmill.session import drop_written, written
 
-#: Least share of the names that must end in a word for it to be a trade; so there are at most 1 / this many.
-TRADE_SHARE = 0.003
+#: Different families that a word must follow at the end of names to be a trade, whatever the number of names.
+TRADE_FAMILIES = 5
 #: Least cosine of a pair to be kept, of two groups (average linkage) to be merged, and of a form
 #: without a trade to join a group; its lead over the next group.
-KEEP, MERGE, JOIN, LEAD = 0.3, 0.55, 0.55, 0.05
+KEEP, MERGE, JOIN, LEAD = 0.55, 0.66, 0.66, 0.05
 #: Lengths of the n-grams; the longest tell names of the same syllables in another arrangement apart.
 GRAMS = (2, 3, 4)
-#: Below this cosine a pair is also compared by edits; an edit takes off three times its share of the letters.
-UNSURE = 0.65
+#: Smoothing of the weights, as a share of the forms: a misspelt, hence rare, n-gram counts little more than others.
+SMOOTH = 0.02
+#: Power of the logarithmic weight of rarity, and what a letter counts beside an n-gram.
+POWER, LETTER = 0.5, 2.0
 
 # Legal forms, as folded words.
 LEGAL = {"inc", "llc", "ltd", "limited", "plc", "gmbh", "corp", "corporation", "co", "company", "pty", "ag", "sa", "bv", "nv", "srl", "spa", "oy", "ab", "as", "lp", "llp", "incorporated", "kg", "sas", "sarl", "pte"}
@@ -64,10 +65,10 @@ def _within(short: str, word: str) -> bool:
 
 
 class Trades:
-    """Trades by the spelling at the end of a name. At most 1 / TRADE_SHARE of them, whatever the input."""
+    """Trades by the spelling at the end of a name. counts: how many families each word follows."""
 
-    def __init__(self, counts: dict[str, int], n_names: int):
-        common = sorted((w for w, n in counts.items() if len(w) > 1 and n >= max(3, TRADE_SHARE * n_names)), key=lambda w: (-counts[w], w))
+    def __init__(self, counts: dict[str, int]):
+        common = sorted((w for w, n in counts.items() if len(w) > 1 and n >= TRADE_FAMILIES), key=lambda w: (-counts[w], w))
         full: list[str] = []
         for w in common:  # a rarer word that abbreviates or misspells a more common one is no trade of its own
             if not self._of(w, full):
@@ -108,40 +109,20 @@ class Trades:
         return " ".join(words), ""
 
 
-def family_grams(family: str) -> Counter:
-    """Character n-grams of each word and of the words run together: order and joining of parts hardly matter."""
-    bag: Counter = Counter()
+def family_grams(family: str) -> dict[str, float]:
+    """Character n-grams of each word, its letters, and pairs with one letter between: order of parts doesn't matter."""
+    bag: dict[str, float] = {}
     for w in family.split():
-        bag.update(w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1))
-        bag.update([f"^{w[:2]}"])
+        for g in [w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)] + [f"^{w[:2]}"]:
+            bag[g] = bag.get(g, 0.0) + 1.0
+        for g in w:
+            bag[f"{g}."] = bag.get(f"{g}.", 0.0) + LETTER
+        for i in range(len(w) - 2):
+            g = f"{w[i]}_{w[i + 2]}"
+            bag[g] = bag.get(g, 0.0) + 0.5
     return bag
 
 
-def block_keys(family: str, n: int) -> list[str]:
-    """What two forms must share one of to be compared: n-grams of the words and of the words run together."""
-    words = family.split()
-    runs = {w[i : i + n] for w in [*words, "".join(words)] for i in range(max(1, len(w) - n + 1))}
-    return sorted(runs)
-
-
-#: Smoothing of the weights, as a share of the forms: a misspelt, hence rare, n-gram counts little more than others.
-SMOOTH = 0.02
-#: Least share of the forms that an n-gram must occur in to have a weight of its own (others weigh as
-#: one that never occurs); forms have tens of n-grams, so tens over this share bounds the table.
-GRAM_SHARE = 0.0005
-
-
-def _weights(counts: dict[str, int], n: int) -> dict[str, float]:
-    return {g: float(np.log(1 + n / (c + SMOOTH * n))) for g, c in counts.items()}
-
-
-def _vector(family: str, weights: dict[str, float]) -> dict[str, float]:
-    other = float(np.log(1 + 1 / SMOOTH))
-    v = {g: c * weights.get(g, other) for g, c in family_grams(family).items()}
-    norm = np.sqrt(sum(x * x for x in v.values())) or 1.0
-    return {g: x / norm for g, x in v.items()}
-
-
 def name_forms(names: DataFrame) -> DataFrame:
     """(name, family, trade, form) of every distinct name that is not NULL or blank; names has one column, name."""
     spark = names.sparkSession
@@ -149,12 +130,12 @@ def name_forms(names: DataFrame) -> DataFrame:
 
     def last_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            words = [(w, host) for w, host, _ in map(name_words, b["name"])]
-            yield pd.DataFrame({"word": [w[-1] for w, host in words if not host and len(w) > 1]}, dtype=object)
+            words = [w for w, host, _ in map(name_words, b["name"]) if not host and len(w) > 1]
+            yield pd.DataFrame({"word": [w[-1] for w in words], "family": [" ".join(w[:-1]) for w in words]}, dtype=object)
 
-    total = names.count()
-    ends = names.mapInPandas(last_words, "word string").groupBy("word").count().where(F.col("count") >= max(3, TRADE_SHARE * total))
-    trades = spark.sparkContext.broadcast(Trades({r["word"]: r["count"] for r in ends.collect()}, total))
+    ends = names.mapInPandas(last_words, "word string, family string").distinct().groupBy("word").count().where(F.col("count") >= TRADE_FAMILIES)
+    # as many as a language has words for trades, each with its common misspellings
+    trades = spark.sparkContext.broadcast(Trades({r["word"]: r["count"] for r in ends.collect()}))
 
     def form(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -164,54 +145,6 @@ def name_forms(names: DataFrame) -> DataFrame:
     return written(names.mapInPandas(form, "name string, family string, trade string").withColumn("form", F.xxhash64("family", "trade")), "forms")
 
 
-def _gram_weights(forms: DataFrame, n: int):
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"gram": [g for f in b["family"] for g in family_grams(f)]}, dtype=object)
-
-    common = forms.select("family").mapInPandas(explode, "gram string").groupBy("gram").count().where(F.col("count") >= GRAM_SHARE * n)
-    return forms.sparkSession.sparkContext.broadcast(_weights({r["gram"]: r["count"] for r in common.collect()}, n))
-
-
-def _keyed(forms: DataFrame, n: int) -> DataFrame:
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ks = [block_keys(f, n) for f in b["family"]]
-            at = np.repeat(np.arange(len(b)), [len(k) for k in ks])
-            yield pd.DataFrame({"form": b["form"].to_numpy()[at], "trade": b["trade"].to_numpy()[at], "n_keys": np.array([len(k) for k in ks], np.int32)[at], "k": [x for k in ks for x in k]})
-
-    return forms.select("form", "family", "trade").mapInPandas(keys, "form bigint, trade string, n_keys int, k string")
-
-
-def _cosines(pairs: DataFrame, forms: DataFrame, weights) -> DataFrame:
-    """(a, b, sim) for pairs of forms."""
-    named = forms.select("form", "family")
-    both = pairs.join(named.withColumnsRenamed({"form": "a", "family": "fa"}), "a").join(named.withColumnsRenamed({"form": "b", "family": "fb"}), "b")
-
-    def dot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, cache = weights.value, {}
-
-        def vec(f: str) -> dict[str, float]:
-            if f not in cache:
-                if len(cache) > 50_000:
-                    cache.clear()
-                cache[f] = _vector(f, w)
-            return cache[f]
-
-        for b in batches:
-            sims = []
-            for x, y in zip(b["fa"], b["fb"]):
-                u, v = vec(x), vec(y)
-                s = sum(c * v[g] for g, c in u.items() if g in v)
-                if KEEP <= s < UNSURE:  # an edit changes several n-grams of a short name: let edits decide
-                    p, q = x.replace(" ", ""), y.replace(" ", "")
-                    s = max(s, 1 - 3 * edits(p, q, 2) / max(len(p), len(q)))
-                sims.append(s)
-            yield pd.DataFrame({"a": b["a"], "b": b["b"], "sim": np.array(sims, float)})
-
-    return both.select("a", "b", "fa", "fb").mapInPandas(dot, "a bigint, b bigint, sim double")
-
-
 def average_linkage(nodes: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
     """(form, grp) by average linkage over a sparse similarity graph; a pair without an edge counts 0.
 
@@ -252,19 +185,14 @@ def link_names(names: DataFrame) -> DataFrame:
     names give one row; an empty table gives an empty result. Very long names are compared whole.
     """
     named = name_forms(names)
-    forms = written(named.select("form", "family", "trade").distinct(), "distinct")
-    n = max(1, forms.count())
-    weights = _gram_weights(forms, n)
-    keys = written(_keyed(forms, 3), "keys")
-    other = keys.select(F.col("form").alias("b"), "trade", "k", F.col("n_keys").alias("nb"))
-    shared = keys.withColumnRenamed("form", "a").join(other, ["trade", "k"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least("n_keys", "nb")).alias("least"))
-    edges = _cosines(shared.where("c >= 2 or least < 5").select("a", "b"), forms, weights).where(F.col("sim") >= KEEP)
-    grouped = average_linkage(forms, edges, MERGE)
+    forms = written(named.select(F.col("form").alias("id"), F.col("trade").alias("grp"), F.col("family").alias("text")).distinct(), "distinct")
+    weights = weighting(forms, family_grams, POWER, SMOOTH)
+    edges = cosine_pairs(forms, None, weights, KEEP)
+    grouped = average_linkage(forms.select(F.col("id").alias("form")), edges, MERGE)
     # forms without a trade join the group they resemble, if it is only one
-    with_trade = _keyed(forms.where("trade != ''"), 4).select(F.col("form").alias("b"), "k")
-    bare = _keyed(forms.where("trade = ''"), 4).select(F.col("form").alias("a"), "k")
-    near = _cosines(bare.join(with_trade, "k").select("a", "b").distinct(), forms, weights)
-    by_group = near.where(F.col("sim") >= KEEP).join(grouped.select(F.col("form").alias("b"), "grp"), "b").groupBy("a", "grp").agg(F.max("sim").alias("sim"))
+    bare, with_trade = (forms.where(c).select("id", "text") for c in ("grp = ''", "grp != ''"))
+    near = cosine_pairs(bare, with_trade, weights, KEEP)
+    by_group = near.join(grouped.select(F.col("form").alias("b"), "grp"), "b").groupBy("a", "grp").agg(F.max("sim").alias("sim"))
     ranked = by_group.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "grp"))).where("r <= 2")
     top = ranked.groupBy("a").agg(F.max_by("grp", "sim").alias("joins"), F.max("sim").alias("first"), F.min(F.when(F.col("r") == 2, F.col("sim"))).alias("second"))
     top = top.where((F.col("first") >= JOIN) & (F.coalesce("second", F.lit(0.0)) <= F.col("first") - LEAD))

@@ -41,8 +41,8 @@ def accepted_before(rows: DataFrame, names: DataFrame, places: DataFrame) -> Dat
     keyed = written(base.select("row_id", F.coalesce("batch_no", F.lit(0)).alias("batch"), F.when(F.col("g").isNotNull(), F.xxhash64(F.lit("g"), "g")).alias("g")).join(same, "row_id", "left"), "keys")
     keys = keyed.select(F.explode(F.array("g", "r")).alias("key"), "batch", F.col("row_id").alias("row"))
     first = written(first_rows(keys), "first")
-    g, r = first.select(F.col("key").alias("g"), F.col("first_row").alias("gf")), first.select(F.col("key").alias("r"), F.col("first_row").alias("rf"))
-    both = written(keyed.join(g, "g", "left").join(r, "r", "left").select("row_id", "gf", "rf"), "firsts")
+    g, r = (first.select(F.col("key").alias(k), "batch", F.col("first_row").alias(f"{k}f")) for k in ("g", "r"))
+    both = written(keyed.join(g, ["g", "batch"], "left").join(r, ["r", "batch"], "left").select("row_id", "gf", "rf"), "firsts")
     roots = components(both.where("gf != rf").select(F.col("gf").alias("a"), F.col("rf").alias("b")))
     found = both.withColumn("node", F.coalesce("gf", "rf")).join(roots, "node", "left").select(F.coalesce("root", "node").alias("first_row_id"), "row_id")
     return found.where("first_row_id != row_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postmill.llm.history import covered_rows
 from postmill.llm.leaks import leaked_items
 from postmill.llm.names import link_names
 from postmill.llm.near import joined_text, near_groups, near_pairs, row_pairs
@@ -49,6 +50,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return accepted_before(rows, _company_names(spark, d), _t(spark, d, "places"))
 
 
+def p3_covered(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each later posting's text earlier batches hold already, and which posting brought most of it."""
+    rows = _t(spark, d, "raw_jobs").select("row_id", F.col("batch_no").alias("batch"), joined_text("title", "description").alias("text"))
+    return covered_rows(rows)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     rows = placed(_t(spark, d, "raw_jobs").select("row_id", "location"), _t(spark, d, "places"))
     return rows.select("row_id", F.explode("place_ids").alias("place_id"))
@@ -71,6 +78,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return linked.withColumnRenamed("name", "name_a").join(other, "org").where("name_a < name_b").select("name_a", "name_b")
 
 
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row per spelling: the organisation's first spelling by code points, and how many spellings it has."""
+    linked = link_names(_company_names(spark, d))
+    org = linked.groupBy("org").agg(F.min("name").alias("first_name"), F.count("*").alias("n_names"))
+    return linked.join(org, "org").select("name", "first_name", "n_names")
+
+
 def p7_pack(spark: SparkSession, d: str) -> DataFrame:
     return pack_texts(_t(spark, d, "documents"))
 
@@ -84,4 +98,4 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     return prose_distances(_t(spark, d, "documents"), _t(spark, d, "doc_labels"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_statistics": p9_statistics, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p7_pack": p7_pack, "p8_found": p8_found}
+QUERIES = {"p9_found": p9_found, "p9_statistics": p9_statistics, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_covered": p3_covered, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p6_groups": p6_groups, "p7_pack": p7_pack, "p8_found": p8_found}

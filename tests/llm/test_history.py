@@ -1,6 +1,7 @@
 import numpy as np
 
-from postmill.llm.history import Segment, accept_batch, covered, first_rows
+from postmill.llm.history import History, Segment, covered, covered_rows, first_rows
+from postmill.llm.words import ascii_words
 
 KEYS = "key bigint, batch int, row bigint"
 
@@ -38,26 +39,57 @@ def test_suffixes_are_sorted():
     assert tails == sorted(tails)
 
 
+def pairs(df):
+    return {(r.key, r.first_row) for r in df.collect()}
+
+
 def test_first_rows(spark):
     rows = [(5, 0, 3), (5, 0, 2), (5, 1, 9), (6, 1, 8), (6, 1, 10), (6, 2, 11), (None, 0, 1), (-4, 2, 12)]
-    assert {tuple(r) for r in first_rows(spark.createDataFrame(rows, KEYS)).collect()} == {(5, 2), (6, 8), (-4, 12)}
+    got = first_rows(spark.createDataFrame(rows, KEYS))
+    assert {tuple(r) for r in got.collect()} == {(5, 0, 2), (5, 1, 2), (6, 1, 8), (6, 2, 8), (-4, 2, 12)}
     assert first_rows(spark.createDataFrame([], KEYS)).count() == 0
     hot = spark.createDataFrame([(1 if i % 3 else i, i // 50, i) for i in range(300)], KEYS)
     want = {}
     for k, _, r in [(1 if i % 3 else i, 0, i) for i in range(300)]:
         if k:
             want.setdefault(k, r)
-    assert {tuple(r) for r in first_rows(hot, rows_per_group=40).collect()} == set(want.items())
+    assert pairs(first_rows(hot, rows_per_shard=40)) == set(want.items())
+
 
+def test_segments_are_merged_by_size_and_never_else_written(spark, monkeypatch):
+    from postmill.llm import history as M
 
-def test_batch_by_batch_is_the_same_as_all_at_once(spark):
     rng = np.random.default_rng(2)
-    rows = [(int(rng.integers(1, 40)), b, b * 30 + i) for b in range(4) for i in range(30)]
-    whole = {tuple(r) for r in first_rows(spark.createDataFrame(rows, KEYS)).collect()}
-    history, matches = None, set()
-    for b in range(4):
-        batch = spark.createDataFrame([(k, r) for k, x, r in rows if x == b], "key bigint, row bigint")
-        history = accept_batch(history, batch, 3).cache()
-        matches |= {(r.key, r.first_row) for r in history.where("kind = 'match'").collect()}
-    assert matches and matches <= whole
-    assert {k for k, _ in matches} == {k for k in {k for k, _, _ in rows} if len({b for x, b, _ in rows if x == k}) > 1}
+    rows = [(int(rng.integers(1, 400)), b, b * 100 + i) for b in range(6) for i in range(90 if b == 0 else 12)]
+    first = {}
+    for k, _, r in sorted(rows, key=lambda x: x[2]):
+        first.setdefault(k, r)
+    for limit in (0, M.BROADCAST_KEYS):
+        monkeypatch.setattr(M, "BROADCAST_KEYS", limit)
+        h = History(spark, rows_per_shard=20)
+        for b in range(6):
+            before = h.segments[:1]
+            batch = spark.createDataFrame([(k, r) for k, x, r in rows if x == b], "key bigint, row bigint")
+            assert pairs(h.accept(batch)) == {(k, first[k]) for k, x, _ in rows if x == b}
+            assert b == 0 or h.segments[0] is before[0]  # the large segment stays as it is
+        sizes = [n for _, _, n in h.segments]
+        assert sum(sizes) == len(first) and all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+
+
+def test_covered_rows_like_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(60):
+        words = [str(x) for x in rng.integers(0, 6, rng.integers(0, 40))]
+        if i > 20 and i % 3 == 0:
+            words[5:5] = rows[i - 20][2].split()[:18]
+        rows.append((i, i // 20, " ".join(words)))
+    rows += [(60, 2, None), (61, 2, ""), (62, 2, "<b>" + rows[3][2].replace(" ", "<i> "))]
+    got = {r.row_id: r for r in covered_rows(spark.createDataFrame(rows, "row_id bigint, batch int, text string"), 4).collect()}
+    assert set(got) == set(range(20, 63))
+    for i, b, t in rows[20:]:
+        old = [ascii_words(x) for _, c, x in rows if c < b]
+        assert abs(got[i].share - brute_share(ascii_words(t), old, 4)) < 1e-9
+        assert (got[i].best_row_id is None) == (got[i].share == 0) and (got[i].best_row_id is None or got[i].best_row_id < 20 * b)
+    empty = spark.createDataFrame([], "row_id bigint, batch int, text string")
+    assert covered_rows(empty).count() == 0

@@ -47,6 +47,6 @@ def test_average_linkage_like_brute_force(spark):
 def test_words_and_trades():
     assert name_words("Acme & Sons Foods, L.L.C.")[0] == ["acme", "sons", "foods"]
     assert name_words("www.acme-sons.example") == (["acme sons".replace(" ", "")], True, False)
-    t = Trades({"engineering": 20, "energy": 20, "networks": 15, "ntwks": 4, "services": 9}, 200)
+    t = Trades({"engineering": 20, "energy": 20, "networks": 15, "ntwks": 5, "services": 9})
     assert t.full == ["energy", "engineering", "networks", "services"]
     assert [t.of(w) for w in ("engrg", "nrg", "ntwks", "svcs", "enigneering", "acme")] == ["engineering", "energy", "networks", "services", "engineering", None]
