@@ -6,12 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def nearest_rank(values: Column, fraction: float) -> Column:
-    """Aggregate: the value at rank round(fraction * (n - 1)), rounded half to even, of the non-null values."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.get(ordered, F.bround(F.lit(fraction) * (F.size(ordered) - 1), 0).cast("int"))
-
-
 def bucket(c: Column, width: int, count: int) -> Column:
     """Lower end of the bucket of width that holds a value; the last of count buckets is closed above."""
     return F.when(c.isNotNull(), F.least(F.floor(c / width), F.lit(count - 1)).cast("int") * width)
@@ -65,3 +59,14 @@ def cascade(rules: list[tuple[Column, str, str]], otherwise: tuple[str, str]) ->
         out = F.when(condition, value) if out is None else out.when(condition, value)
     last = F.struct(F.lit(otherwise[0]).alias("flag"), F.lit(otherwise[1]).alias("reason"))
     return last if out is None else out.otherwise(last)
+
+
+def age_label(ts: Column, now: Column) -> Column:
+    """today, yesterday or a number of days; undated for NULL and for what lies ahead."""
+    age = age_days(ts, now)
+    return F.when(age < 0, "undated").when(age < 1, "today").when(age < 2, "yesterday").when(age.isNotNull(), F.concat(F.floor(age).cast("string"), F.lit(" days"))).otherwise("undated")
+
+
+def duration_label(us: Column) -> Column:
+    """Microseconds as hours and minutes."""
+    return F.concat(F.floor(us / 3_600_000_000).cast("string"), F.lit("h "), (F.floor(us / 60_000_000) % 60).cast("string"), F.lit("m"))

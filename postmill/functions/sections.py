@@ -1,107 +1,89 @@
-"""Texts by section: a line scan with state, so an Arrow UDF; all else about texts is in plain expressions."""
+"""Texts by section, as column expressions: headings are marked by one substitution, then arrays of parts are taken."""
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_MARKED = re.compile(r"^(?:\*\*([^*]{2,60}?)\*\*:?|#{1,6}\s+(.{2,60}?))$")
-_TAGGED = re.compile(r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>")
-_ITEM = re.compile(r"^(?:[-*•●]|\d+[.)]\s)")
+_OPEN, _CLOSE = "\x01", "\x02"
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Which sections to leave out. Patterns are searched for without regard to case.
+    """Which sections to leave out, and what counts as a heading. Patterns are searched for without regard to case.
 
     unwanted: in a heading; unless: in a paragraph, which then stays; short: a result of fewer
-    characters, of a text of more than three times as many, is given up for the whole text.
+    characters, of a text of more than three times as many, is given up for the whole text. longest:
+    characters of a heading with marks; most_words: words of one without.
     """
 
     unwanted: str
     unless: str = r"(?!)"
     short: int = 100
+    longest: int = 60
+    most_words: int = 6
 
 
-def heading(line: str) -> str | None:
-    """The heading that a line is: marked as one, or a few words in capitals or with capital initials, without a stop."""
-    line = line.strip()
-    if m := _MARKED.match(line):
-        return (m[1] or m[2]).strip(" *")
-    words = line.rstrip(":").split()
-    if not words or len(words) > 6 or _ITEM.match(line) or line[-1] in ".,;" or not any(c.isalpha() for c in line):
-        return None
-    small = sum(not w[0].isupper() for w in words)
-    return line.rstrip(":") if line.upper() == line or small <= (1 if len(words) > 1 else 0) else None
-
-
-def paragraphs(text: str) -> list[tuple[int, str | None, str]]:
-    """(section, heading, paragraph) of a text; section 0 is what stands before the first heading."""
-    out: list[tuple[int, str | None, str]] = []
-    section, title, lines = 0, None, []
-
-    def close() -> None:
-        if lines:
-            out.append((section, title, "\n".join(lines).strip()))
-            lines.clear()
-
-    for line in text.split("\n"):
-        if not line.strip():
-            close()
-        elif (h := heading(line)) is not None:
-            close()
-            section, title = section + 1, h
-        else:
-            lines.append(line)
-    close()
-    return out
-
-
-def without_sections(text: str | None, rules: Rules) -> str | None:
-    """text without unwanted sections: of each, its first paragraph and its lists go, later prose is another matter and stays."""
-    if not text:
-        return text
-    found = paragraphs(text)
-    if not any(title for _, title, _ in found):
-        return text
-    unwanted, unless = re.compile(rules.unwanted, re.I), re.compile(rules.unless, re.I)
-    kept: list[str] = []
-    last = -1
-    for section, title, body in found:
-        first, last = section != last, section
-        if title and unwanted.search(title):
-            if not (first or _ITEM.match(body)) or unless.search(body):
-                kept.append(body)
-        else:
-            kept += [title, body] if title and first else [body]
-    result = "\n\n".join(kept).strip()
-    return text if len(result) < rules.short and len(text) > 3 * rules.short else result
-
-
-def only_sections(text: str | None, wanted: str) -> str | None:
-    """The paragraphs of sections with a wanted heading; NULL where there is none."""
-    if text is None:
-        return None
-    pattern = re.compile(wanted, re.I)
-    kept = [body for _, title, body in paragraphs(text) if title and pattern.search(title)]
-    return "\n\n".join(kept) or None
+def _headings(longest: int = 60, most_words: int = 6) -> str:
+    """A pattern of heading lines, its title in one of three groups: bold, after number signs, or bare words with capital initials but for one."""
+    end = r"(?:[ \t]+|(?=:?[ \t]*$))"
+    big, small = rf"[^\p{{Ll}}\s]\S*?{end}", rf"\p{{Ll}}\S*?{end}"
+    bare = rf"(?![-*•●]|\d+[.)]\s)(?=[^\n]*\p{{L}})(?![^\n]*[.,;][ \t]*$)(?!\p{{Ll}}\S*[ \t]*$)(?=\S+(?:[ \t]+\S+){{0,{most_words - 1}}}[ \t]*$)(?:{big})*(?:{small})?(?:{big})*"
+    return rf"(?m)^[ \t]*(?:\*\*([^*\n]{{2,{longest}}}?)\*\*:?|#{{1,6}}[ \t]+([^\n]{{2,{longest}}}?)|({bare}):?)[ \t]*$"
+
+
+def heading(line: Column, rules: Rules = Rules("")) -> Column:
+    """The title of a line that is a heading, else NULL."""
+    p = _headings(rules.longest, rules.most_words)
+    return F.when(line.rlike(p), _title(F.regexp_replace(line, p, "$1$2$3")))
+
+
+def _title(c: Column) -> Column:
+    return F.regexp_replace(c, r"^[ *]+|[ *:]+$", "")
+
+
+def _parts(c: Column, rules: Rules) -> Column:
+    """The text cut before each heading: first what has none, then 'title, mark, body'. HTML headings count."""
+    plain = F.regexp_replace(c, r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>", "\n\n## $1\n")
+    return F.split(F.regexp_replace(plain, _headings(rules.longest, rules.most_words), f"{_OPEN}$1$2$3{_CLOSE}"), _OPEN)
+
+
+def _paragraphs(body: Column) -> Column:
+    return F.filter(F.transform(F.split(body, r"\n[ \t]*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+
+
+def _split(part: Column) -> tuple[Column, Column]:
+    return _title(F.substring_index(part, _CLOSE, 1)), _paragraphs(F.substring_index(part, _CLOSE, -1))
 
 
 def sections_dropped(c: Column, rules: Rules) -> Column:
-    @F.pandas_udf("string")
-    def run(v: pd.Series) -> pd.Series:
-        return v.map(lambda t: without_sections(t, rules), na_action="ignore")
+    """A text without its unwanted sections: of each go the first paragraph and the lists; later prose, and paragraphs that unless is found in, stay.
+
+    A text without headings, or of which too little would be left, stays as it is; NULL stays NULL.
+    """
+    parts = _parts(c, rules)
+
+    def kept(part: Column) -> Column:
+        title, body = _split(part)
+        rest = F.filter(body, lambda p, i: ((i > 0) & ~p.rlike(r"^(?:[-*•●]|\d+[.)]\s)")) | p.rlike(f"(?i){rules.unless}"))
+        return F.when(title.rlike(f"(?i){rules.unwanted}"), rest).when(F.size(body) > 0, F.concat(F.array(title), body)).otherwise(body)
 
-    return run(F.regexp_replace(c, _TAGGED.pattern, "\n\n## $1\n"))
+    lead = _paragraphs(F.get(parts, F.lit(0)))
+    sections = F.flatten(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), kept))
+    result = F.array_join(F.concat(lead, sections), "\n\n")
+    whole = (F.size(parts) < 2) | ((F.length(result) < rules.short) & (F.length(c) > 3 * rules.short))
+    return F.when(whole, c).otherwise(result)
 
 
 def sections_kept(c: Column, wanted: str) -> Column:
-    @F.pandas_udf("string")
-    def run(v: pd.Series) -> pd.Series:
-        return v.map(lambda t: only_sections(t, wanted), na_action="ignore")
+    """The paragraphs of sections with a wanted heading; NULL where there is none."""
+    parts = _parts(c, Rules(wanted))
+
+    def kept(part: Column) -> Column:
+        title, body = _split(part)
+        return F.when(title.rlike(f"(?i){wanted}"), body).otherwise(F.slice(body, 1, 0))
 
-    return run(F.regexp_replace(c, _TAGGED.pattern, "\n\n## $1\n"))
+    found = F.flatten(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), kept))
+    return F.nullif(F.array_join(found, "\n\n"), F.lit(""))

@@ -67,3 +67,33 @@ def path_segment(raw: Column, field: str, n: int) -> Column:
     """The n-th segment of a path in a JSON text, with blanks for dashes; NULL for broken JSON or too short a path."""
     parts = F.filter(F.split(F.get_json_object(raw, f"$.{field}"), "/"), lambda x: x != "")
     return F.replace(F.get(parts, F.lit(n - 1)), F.lit("-"), F.lit(" "))
+
+
+def present(c: Column) -> Column:
+    """Text that says something: trimmed, NULL where it is blank or 'nan'."""
+    t = F.trim(c.cast("string"))
+    return F.when((t != "") & (F.lower(t) != "nan"), t)
+
+
+def json_list(c: Column) -> Column:
+    """A JSON array of strings as an array; NULL where it is no such array."""
+    return F.from_json(c, "array<string>")
+
+
+def normalised(c: Column) -> Column:
+    """Text for looking for phrases: no tags or marks of emphasis, straight quotes, common abbreviations without stops, single blanks."""
+    t = F.replace(F.regexp_replace(c, "<[^>]*>", " "), F.lit("\u2019"), F.lit("'"))
+    t = F.regexp_replace(t, "[*_#`]", "")
+    t = F.regexp_replace(t, r"(?i)\b(u)\.(s)\.(a\.)?|\b(e)\.(g)\.|\b(i)\.(e)\.|\b(et)(c)\.", "$1$2$4$5$6$7$8$9")
+    return F.trim(F.regexp_replace(t, r"\s+", " "))
+
+
+def sentence_with(c: Column, pattern: str) -> Column:
+    """The first sentence of a text, tags aside, that a pattern occurs in."""
+    flat = F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"\s+", " ")
+    return F.get(F.filter(F.split(flat, "[.;?!] "), lambda x: x.rlike(pattern)), F.lit(0))
+
+
+def any_pattern(patterns: list[str]) -> str:
+    """A pattern that matches where any of several does, whatever the case."""
+    return "(?i)" + "|".join(f"(?:{p})" for p in patterns)

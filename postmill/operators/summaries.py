@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -57,3 +57,16 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
         one = df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
         out = one if out is None else out.unionAll(one)
     return out
+
+
+def nearest_ranks(df: DataFrame, group: str, value: str, fractions: dict[str, float]) -> DataFrame:
+    """(group, one column a fraction): the value at rank round(fraction * (n - 1)), rounded half to even, of a group's non-null values.
+
+    Values are counted first, combined map-side; ranks come from running sums over distinct values, so
+    no group is gathered as a list. A group without values has no row.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(group)
+    ranked = counts.withColumns({"_to": F.sum("_n").over(w.orderBy(value)), "_all": F.sum("_n").over(w)})
+    at = lambda f: F.bround(F.lit(f) * (F.col("_all") - 1), 0)
+    return ranked.groupBy(group).agg(*[F.min(F.when(F.col("_to") > at(f), F.col(value))).alias(name) for name, f in fractions.items()])

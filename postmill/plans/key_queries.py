@@ -229,8 +229,8 @@ def j12_marks_without_job(t: Tables) -> DataFrame:
 
 
 @query(
-    """with n as (select global_id, case when score is null then 'failed' else 'scored' end as status, score + 1 as score, 'later' as first_seen_at from jobs where length(global_id) % 2 = 0
-union all select distinct global_id, 'pending', null::int, 'later' from raw_jobs where batch_no = 7 and global_id not in (select global_id from jobs))
+    """with n as (select r.global_id, case when j.global_id is null then 'pending' when score is null then 'failed' else 'scored' end as status, score + 1 as score, 'later' as first_seen_at
+from (select distinct global_id from raw_jobs where global_id is not null) r left join jobs j on j.global_id = r.global_id)
 select coalesce(o.global_id, n.global_id) as global_id, coalesce(o.first_seen_at, n.first_seen_at) as first_seen_at,
   case when take then n.status else o.status end as status, case when take then n.score else o.score end as score
 from (select o, n, n.global_id is not null and (o.global_id is null or o.status not in ('scored', 'delisted') or n.status in ('scored', 'delisted')) as take from jobs o full join n on o.global_id = n.global_id)"""

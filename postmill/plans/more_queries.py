@@ -63,7 +63,7 @@ def w08_queue(t: Tables) -> DataFrame:
     return s.withColumn("queue_pos", F.when(F.col("status") == "queued", F.row_number().over(w)).cast("bigint"))
 
 
-@query("select company, n, best, row_number() over (order by best desc nulls last, n desc, lower(company) nulls last, company) as pos from (select company, count(*) as n, max(score) as best from jobs group by 1) order by pos limit 100")
+@query("select company, n, best, row_number() over (order by best desc nulls last, n desc, lower(company) nulls last, company) as pos from (select company, count(*) as n, max(score) as best from jobs group by 1)")
 def w20_group_sort(t: Tables) -> DataFrame:
     order = [F.col("best").desc_nulls_last(), F.desc("n"), F.lower("company").asc_nulls_last(), F.col("company").asc_nulls_last()]
     groups = t.jobs.groupBy("company").agg(F.count("*").alias("n"), F.max("score").alias("best"))
@@ -132,7 +132,7 @@ def r07_running_budget(t: Tables) -> DataFrame:
     return used.select("error_id", "used", (F.col("used") >= 200).alias("over_limit"))
 
 
-# No SQL: a line scan with state, tested against cases.
+# No SQL: patterns that look ahead, tested against cases.
 @query(None)
 def x09_sections_dropped(t: Tables) -> DataFrame:
     rules = Rules(unwanted=r"about (?!the (?:role|job)|you)|who we are|company|what we offer|benefits|how to apply", unless=r"citizen|clearance")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.plans import key_queries, more_queries, report_queries, stream_queries, training_data
+from postmill.plans import key_queries, more_queries, report_queries, state_queries, stream_queries, training_data
 
-_MODULES = [training_data, key_queries, report_queries, more_queries, stream_queries]
+_MODULES = [training_data, key_queries, report_queries, more_queries, state_queries, stream_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

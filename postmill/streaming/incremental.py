@@ -48,11 +48,21 @@ def window_counts(stream: DataFrame, ts: str, by: str, length: str, slide: str |
 
 
 def run_to_table(df: DataFrame, mode: str = "complete") -> DataFrame:
-    """The result of a streaming frame over all input there is now."""
-    spark, name = df.sparkSession, f"out_{uuid.uuid4().hex}"
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/progress-{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    """The result of a streaming frame over all input there is now, as a table in the shared folder.
+
+    A repeated micro-batch overwrites its own rows only; in complete mode each replaces all before it.
+    """
+    spark, root = df.sparkSession, f"{shared_folder(df.sparkSession)}/out-{uuid.uuid4().hex}"
+    last = []
+
+    def batch(rows: DataFrame, n: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{root}/rows/batch={n}")
+        last.append(n)
+
+    df.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start().awaitTermination()
+    if not last:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(f"{root}/rows/batch={last[-1]}" if mode == "complete" else f"{root}/rows")
 
 
 def deliver(outbox: DataFrame, send: Callable[[str, str], bool], attempts: int = 3) -> DataFrame:

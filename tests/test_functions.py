@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from postmill.functions import keys as K
 from postmill.functions import numbers as N
 from postmill.functions import text as X
+from postmill.operators import summaries as S
 
 
 def values(spark, f, rows, schema="v string"):
@@ -56,7 +57,8 @@ def test_text(spark):
 
 
 def test_numbers(spark):
-    assert values(spark, N.nearest_rank(F.col("v"), 0.5), [1, 2, 3, 4, None], "v int") == [3]
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("a", 4), ("a", None), ("b", 7), ("b", 7), ("c", None), (None, 5)], "g string, v int")
+    assert {tuple(r) for r in S.nearest_ranks(df, "g", "v", {"p50": 0.5, "p90": 0.9}).collect()} == {("a", 3, 4), ("b", 7, 7), (None, 5, 5)}
     assert values(spark, N.bucket(F.col("v"), 10, 10), [0, 9, 10, 100, None], "v int") == [0, 0, 10, 90, None]
     assert values(spark, N.pieces(F.col("v"), [(3.0, 100), (5.0, 80), (7.0, 40)], 15), [1.0, 4.0, 6.0, 9.0, None], "v double") == [100.0, 90.0, 60.0, 15.0, None]
     assert values(spark, N.weighted([(F.col("v"), 0.5), (F.lit(78), 0.5)]), [79.0, 81.0], "v double") == [78, 80]
@@ -81,14 +83,16 @@ def test_empty_cascade(spark, bad):
 
 
 def test_sections(spark):
-    from postmill.functions.sections import Rules, heading, only_sections, paragraphs, sections_dropped, without_sections
+    from postmill.functions.sections import Rules, heading, sections_dropped, sections_kept
 
-    assert [heading(x) for x in ("## About us", "**Your tasks**:", "WHAT WE OFFER", "What We Offer:", "we offer a lot here.", "- Item", "plain words here", "C++", "7")] == ["About us", "Your tasks", "WHAT WE OFFER", "What We Offer", None, None, None, "C++", None]
+    lines = ["## About us", "**Your tasks**:", "WHAT WE OFFER", "What We Offer:", "we offer a lot here.", "- Item", "plain words here", "C++", "7", "plain", "Seven Words Are Too Many For This", "Work and Life", "Ends, Here;"]
+    assert values(spark, heading(F.col("v")), lines) == ["About us", "Your tasks", "WHAT WE OFFER", "What We Offer", None, None, None, "C++", None, None, None, "Work and Life", None]
     text = "Lead in, of the role.\n\n## About us\nWe are great.\n\n- and big\n\nAs an engineer you will build.\n## Tasks\nYou build many small things\nthat work.\n\n## Benefits\nLunch, for citizens only."
-    assert [(s, h) for s, h, _ in paragraphs(text)] == [(0, None), (1, "About us"), (1, "About us"), (1, "About us"), (2, "Tasks"), (3, "Benefits")]
     rules = Rules(unwanted="about|benefit", unless="citizen", short=5)
-    assert without_sections(text, rules) == "Lead in, of the role.\n\nAs an engineer you will build.\n\nTasks\n\nYou build many small things\nthat work.\n\nLunch, for citizens only."
-    assert without_sections("no headings here.", rules) == "no headings here." and without_sections("", rules) == "" and without_sections(None, rules) is None
-    assert without_sections("## About us\n" + "x " * 200, Rules(unwanted="about")).startswith("## About us")
-    assert only_sections(text, "task") == "You build many small things\nthat work." and only_sections("plain", "task") is None
-    assert values(spark, sections_dropped(F.col("v"), rules), ["<h3>About us</h3><p>We are.</p>\n\n<h3>Tasks</h3>\nyou build it all.", None]) == ["Tasks\n\nyou build it all.", None]
+    dropped = lambda v, r=rules: values(spark, sections_dropped(F.col("v"), r), v)
+    assert dropped([text]) == ["Lead in, of the role.\n\nAs an engineer you will build.\n\nTasks\n\nYou build many small things\nthat work.\n\nLunch, for citizens only."]
+    assert dropped(["no headings here.", "", None]) == ["no headings here.", "", None]
+    assert dropped(["## About us\n" + "x " * 200], Rules(unwanted="about"))[0].startswith("## About us")
+    assert values(spark, sections_kept(F.col("v"), "task"), [text, "plain", None]) == ["You build many small things\nthat work.", None, None]
+    assert dropped(["<h3>About us</h3><p>We are.</p>\n\n<h3>Tasks</h3>\nyou build it all.", None]) == ["Tasks\n\nyou build it all.", None]
+    assert dropped(["Long Text\n" + "word " * 60_000]) == ["Long Text\n\n" + ("word " * 60_000).strip()]
