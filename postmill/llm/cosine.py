@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.session import written
+from postmill.session import groups_for, written
 
 #: Buckets in which texts are counted by n-gram: a bound of the table of weights, whatever the alphabet.
 BUCKETS = 1 << 18
@@ -127,10 +127,12 @@ def cosine_pairs(left: DataFrame, right: DataFrame | None, weights: Weighting, l
             gram = pa.array(np.concatenate(hs) if hs else np.empty(0, np.int64))
             yield pa.record_batch([b.column("id").take(at), *([b.column("grp").take(at)] if len(by) > 1 else []), gram], ["id", *by])
 
-    keyed = lambda df: df.select("id", *by[:-1], "text").mapInArrow(first, "id bigint, " + ("grp string, " if len(by) > 1 else "") + "gram bigint")
+    # few bytes but many partners a row: a number of partitions of our own, which isn't made less
+    n = groups_for(0, left.sparkSession)
+    keyed = lambda df: df.select("id", *by[:-1], "text").repartition(n).mapInArrow(first, "id bigint, " + ("grp string, " if len(by) > 1 else "") + "gram bigint").repartition(n, *by)
     ours = keyed(left)
     if right is None:
-        ours = written(ours, "grams")
+        ours = written(ours, "grams").repartition(n, *by)
         met = ours.withColumnRenamed("id", "a").join(ours.withColumnRenamed("id", "b"), by).where("a < b")
     else:
         met = ours.withColumnRenamed("id", "a").join(keyed(right).withColumnRenamed("id", "b"), by)

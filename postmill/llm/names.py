@@ -24,13 +24,16 @@ from postmill.session import drop_written, written
 TRADE_FAMILIES = 5
 #: Least cosine of a pair to be kept, of two groups (average linkage) to be merged, and of a form
 #: without a trade to join a group; its lead over the next group.
-KEEP, MERGE, JOIN, LEAD = 0.55, 0.66, 0.66, 0.05
+KEEP, MERGE, JOIN, LEAD = 0.4, 0.42, 0.5, 0.05
+#: Below this cosine a pair is kept only if edits confirm it: an exact check, which alone links nothing.
+SURE = 0.5
 #: Lengths of the n-grams; the longest tell names of the same syllables in another arrangement apart.
 GRAMS = (2, 3, 4)
 #: Smoothing of the weights, as a share of the forms: a misspelt, hence rare, n-gram counts little more than others.
 SMOOTH = 0.02
-#: Power of the logarithmic weight of rarity, and what a letter counts beside an n-gram.
-POWER, LETTER = 0.5, 2.0
+#: What the parts of a name count: n-grams by length, its letters, and pairs with one letter between. Long
+#: n-grams are rare and tell most; were letters to tell more, all names would meet in the join.
+COUNT, LETTER, SKIP = {2: 0.5, 3: 1.0, 4: 1.0}, 0.5, 0.25
 
 # Legal forms, as folded words.
 LEGAL = {"inc", "llc", "ltd", "limited", "plc", "gmbh", "corp", "corporation", "co", "company", "pty", "ag", "sa", "bv", "nv", "srl", "spa", "oy", "ab", "as", "lp", "llp", "incorporated", "kg", "sas", "sarl", "pte"}
@@ -113,13 +116,15 @@ def family_grams(family: str) -> dict[str, float]:
     """Character n-grams of each word, its letters, and pairs with one letter between: order of parts doesn't matter."""
     bag: dict[str, float] = {}
     for w in family.split():
-        for g in [w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)] + [f"^{w[:2]}"]:
-            bag[g] = bag.get(g, 0.0) + 1.0
+        bag[f"^{w[:2]}"] = bag.get(f"^{w[:2]}", 0.0) + 1.0
+        for n in GRAMS:
+            for i in range(len(w) - n + 1):
+                bag[w[i : i + n]] = bag.get(w[i : i + n], 0.0) + COUNT[n]
         for g in w:
             bag[f"{g}."] = bag.get(f"{g}.", 0.0) + LETTER
         for i in range(len(w) - 2):
             g = f"{w[i]}_{w[i + 2]}"
-            bag[g] = bag.get(g, 0.0) + 0.5
+            bag[g] = bag.get(g, 0.0) + SKIP
     return bag
 
 
@@ -145,6 +150,31 @@ def name_forms(names: DataFrame) -> DataFrame:
     return written(names.mapInPandas(form, "name string, family string, trade string").withColumn("form", F.xxhash64("family", "trade")), "forms")
 
 
+def confirmed(p: str, q: str) -> bool:
+    """Whether two families differ by few typing errors, or by these and an initial that stands for a word."""
+    a, b = p.split(), q.split()
+    short = {w for w in a + b if len(w) == 1}
+    if short and len(a) == len(b):
+        pairs = [(x, y) for x, y in zip(a, b) if not (len(x) == 1 or len(y) == 1)]
+        if all(x[0] == y[0] for x, y in zip(a, b)) and pairs:
+            return all(edits(x, y, 2) <= 2 for x, y in pairs)
+    x, y = "".join(a), "".join(b)
+    most = min(3, max(len(x), len(y)) // 4)
+    return edits(x, y, most) <= most
+
+
+def _checked(edges: DataFrame, forms: DataFrame) -> DataFrame:
+    """edges without those of a cosine below SURE that are not confirmed."""
+    named = forms.select("id", "text")
+    unsure = edges.where(F.col("sim") < SURE).join(named.withColumnsRenamed({"id": "a", "text": "p"}), "a").join(named.withColumnsRenamed({"id": "b", "text": "q"}), "b")
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.loc[[confirmed(p, q) for p, q in zip(b["p"], b["q"])], ["a", "b", "sim"]]
+
+    return edges.where(F.col("sim") >= SURE).unionByName(unsure.select("a", "b", "sim", "p", "q").mapInPandas(check, "a bigint, b bigint, sim double"))
+
+
 def average_linkage(nodes: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
     """(form, grp) by average linkage over a sparse similarity graph; a pair without an edge counts 0.
 
@@ -186,12 +216,12 @@ def link_names(names: DataFrame) -> DataFrame:
     """
     named = name_forms(names)
     forms = written(named.select(F.col("form").alias("id"), F.col("trade").alias("grp"), F.col("family").alias("text")).distinct(), "distinct")
-    weights = weighting(forms, family_grams, POWER, SMOOTH)
-    edges = cosine_pairs(forms, None, weights, KEEP)
+    weights = weighting(forms, family_grams, smooth=SMOOTH)
+    edges = _checked(written(cosine_pairs(forms, None, weights, KEEP), "pairs"), forms)
     grouped = average_linkage(forms.select(F.col("id").alias("form")), edges, MERGE)
     # forms without a trade join the group they resemble, if it is only one
     bare, with_trade = (forms.where(c).select("id", "text") for c in ("grp = ''", "grp != ''"))
-    near = cosine_pairs(bare, with_trade, weights, KEEP)
+    near = cosine_pairs(bare, with_trade, weights, JOIN - LEAD)
     by_group = near.join(grouped.select(F.col("form").alias("b"), "grp"), "b").groupBy("a", "grp").agg(F.max("sim").alias("sim"))
     ranked = by_group.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "grp"))).where("r <= 2")
     top = ranked.groupBy("a").agg(F.max_by("grp", "sim").alias("joins"), F.max("sim").alias("first"), F.min(F.when(F.col("r") == 2, F.col("sim"))).alias("second"))
