@@ -14,7 +14,7 @@ def test_against_sql(spark, name):
     if name in registry.sql():
         assert_same(df, registry.sql()[name])
     else:
-        assert len(df.collect()) >= 0 and df.columns
+        assert len(df.collect()) > 0  # what they hold is tested elsewhere
 
 
 def test_every_sql_has_its_query():
