@@ -135,17 +135,6 @@ def covered(batch: Segment, history: list[Segment]) -> pd.DataFrame:
     return out.assign(best=best.reindex(range(len(lengths)), fill_value=-1).to_numpy(), best_share=most.reindex(range(len(lengths)), fill_value=0).to_numpy() / np.maximum(lengths, 1))
 
 
-def _first_keys(keys: np.ndarray, rows: np.ndarray, history: list[Segment]) -> np.ndarray:
-    """For each key of a batch: the row that history has under it, or the batch's own row."""
-    batch, first = Segment.of_keys(keys, rows), rows.copy()
-    for seg in history:
-        lo, hi = seg.find(batch.words, batch.starts)
-        hit = hi > lo
-        # a key is in history once: what is found isn't added again
-        first[hit] = np.minimum(first[hit], seg.records[seg.record_at(seg.order[lo[hit]])])
-    return first
-
-
 _SEGMENT = "shard bigint, words binary, starts binary, records binary, sorted binary"
 _PACKED = "shard bigint, keys binary, rows binary"
 #: Most keys of a batch that are broadcast to the segments; beyond, both are shuffled by shard.
@@ -185,8 +174,8 @@ class History:
     """All that is accepted, as segments in tables of the shared folder.
 
     A key is in it once, with the row that brought it. accept() looks a batch up, adds what is new as
-    one more segment, and merges segments of like size; no other segment is written again, and none
-    is sorted again. Other stores of (path, size) pairs can be taken up by assigning segments.
+    one more segment, and merges segments of like size; no other segment is written again. The list
+    of segments is held by the driver, a few for each power of two of their sizes.
     """
 
     def __init__(self, spark: SparkSession, rows_per_shard: int = GROUP_ROWS):
