@@ -1,27 +1,33 @@
 """Sparse cosine similarity joins of short texts, over weighted character n-grams.
 
-Each text is a sparse unit vector. A pair of texts of at least a given cosine shares an n-gram among
-the first ones of both, in order of rarity, that are left when as many common ones are put aside as
-cannot make up that cosine by themselves (prefix filter): an equality join on these n-grams finds
-every such pair, and the cosine is then computed in full.
+Each text is a sparse unit vector. Texts are dealt into chunks, and each pair of chunks of one group
+meets once, in numpy: the products of the rarer n-grams are summed over an inverted index; where this
+sum and the lengths of what the common ones make up of both vectors can't reach the cosine, the pair
+is put aside, and the products of the common n-grams are added for the others only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.session import groups_for, written
+from postmill.session import groups_for
 
 #: Buckets in which texts are counted by n-gram: a bound of the table of weights, whatever the alphabet.
 BUCKETS = 1 << 18
-#: Texts whose vectors a task keeps.
-CACHE = 50_000
+#: Most texts of a chunk, about 20 MB of n-grams; a larger group is several chunks, each of which meets every other.
+CHUNK_ROWS = 16_384
+#: Pairs of texts whose sums are held at once.
+CELLS = 1 << 19
+#: N-grams count as common as long as they make up this share of the least cosine, and as many at most. Both only divide the work.
+COMMON_SHARE, COMMON_GRAMS = 0.4, 512
 
 Grams = Callable[[str], dict[str, float]]
 
@@ -51,44 +57,76 @@ class Weighting:
         self.grams, self.counts = grams, counts
         n = max(1, n_texts)
         self.weight = np.log1p(n / np.maximum(counts + smooth * n, 1.0)) ** power
-        self.cache: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes, weights) in order of rarity; a unit vector."""
-        v = self.cache.get(text)
-        if v is None:
-            if len(self.cache) > CACHE:
-                self.cache.clear()
-            bag = self.grams(text)
-            h = np.fromiter(map(_hash, bag), np.uint64, len(bag))
-            at = (h >> np.uint64(46)).astype(np.int64)
-            w = np.fromiter(bag.values(), float, len(bag)) * self.weight[at]
-            order = np.lexsort((h, self.counts[at]))
-            v = self.cache[text] = h[order], w[order] / (np.sqrt((w * w).sum()) or 1.0)
-        return v
-
-    def prefix(self, text: str, least: float) -> np.ndarray:
-        """The n-grams without the last, most common ones whose part of the vector is shorter than least."""
-        h, w = self.vector(text)
-        rest = np.cumsum((w * w)[::-1])[::-1]  # of each n-gram and those after it
-        return h[rest >= least * least - 1e-9]
-
-    def cosines(self, left: list[str], right: list[str]) -> np.ndarray:
-        """Cosines of pairs of texts."""
-        keys, values, pairs = [], [], []
-        for side in (left, right):
-            vs = [self.vector(t) for t in side]
-            n = np.array([len(h) for h, _ in vs], np.int64)
-            pair = np.repeat(np.arange(len(side), dtype=np.uint64), n)
-            h = np.concatenate([h for h, _ in vs]) if vs else np.empty(0, np.uint64)
-            keys.append(h * np.uint64(0x9E3779B97F4A7C15) + pair * np.uint64(0xC2B2AE3D27D4EB4F))
-            values.append(np.concatenate([w for _, w in vs]) if vs else np.empty(0))
-            pairs.append(pair.astype(np.int64))
-        k, w, p = np.concatenate(keys), np.concatenate(values), np.concatenate(pairs)
-        order = np.argsort(k, kind="stable")
-        k, w, p = k[order], w[order], p[order]
-        twice = np.flatnonzero((k[1:] == k[:-1]) & (p[1:] == p[:-1]))
-        return np.bincount(p[twice], w[twice] * w[twice + 1], minlength=len(left))[: len(left)]
+
+    def counted(self, text: str) -> tuple[bytes, bytes]:
+        """The hashes of the n-grams (64 bits each) and their counts (32)."""
+        bag = self.grams(text)
+        return np.fromiter(map(_hash, bag), np.uint64, len(bag)).tobytes(), np.fromiter(bag.values(), np.float32, len(bag)).tobytes()
+
+    def vectors(self, hashes: list[bytes], counts: list[bytes]) -> Vectors:
+        """The unit vectors of texts as counted() gives them."""
+        n = np.array([len(h) // 8 for h in hashes], np.int64)
+        gram = np.frombuffer(b"".join(hashes), np.uint64)
+        row = np.repeat(np.arange(len(n)), n)
+        w = np.frombuffer(b"".join(counts), np.float32) * self.weight[(gram >> np.uint64(46)).astype(np.int64)]
+        length = np.sqrt(np.bincount(row, w * w, minlength=len(n)))
+        return Vectors(len(n), row, gram, w / length[row])
+
+
+class Vectors(NamedTuple):
+    """Sparse vectors of n texts; row ascends."""
+
+    n: int
+    row: np.ndarray
+    gram: np.ndarray
+    weight: np.ndarray
+
+
+def vector_pairs(x: Vectors, y: Vectors, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, cosine) for every text i of x and j of y with a cosine of at least least, which is above 0; some at a time."""
+    grams, yg = np.unique(y.gram, return_inverse=True)
+    if not x.n or not len(grams):
+        return
+    xg = np.minimum(np.searchsorted(grams, x.gram), len(grams) - 1)
+    hit = grams[xg] == x.gram
+    xr, xg, xw = x.row[hit], xg[hit], x.weight[hit]
+    often = np.argsort(-np.bincount(yg), kind="stable")[:COMMON_GRAMS]
+    column = np.full(len(grams), -1)
+    often = often[np.cumsum(np.bincount(yg, y.weight * y.weight)[often]) <= COMMON_SHARE * least * y.n]
+    column[often] = np.arange(len(often))
+
+    def split(n: int, row: np.ndarray, gram: np.ndarray, weight: np.ndarray) -> tuple:
+        """The common n-grams as a matrix, and the lengths of its rows; the others as they came."""
+        common, rest = (column[gram] >= 0), (column[gram] < 0)
+        m = np.zeros((n, len(often)))
+        m[row[common], column[gram[common]]] = weight[common]
+        return m, np.sqrt((m * m).sum(1)), row[rest], gram[rest], weight[rest]
+
+    xm, x_length, xr, xg, xw = split(x.n, xr, xg, xw)
+    ym, y_length, yr, yg, yw = split(y.n, y.row, yg, y.weight)
+    order = np.argsort(yg, kind="stable")
+    yr, yw = yr[order], yw[order]
+    begin = np.r_[0, np.cumsum(np.bincount(yg, minlength=len(grams)))]
+    bar = least - 1e-9
+    size = max(1, CELLS // y.n)
+    for s in range(0, x.n, size):
+        b = min(size, x.n - s)
+        own = slice(*np.searchsorted(xr, [s, s + b]))
+        at = begin[xg[own]]
+        n = begin[xg[own] + 1] - at
+        met = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        sums = np.bincount(np.repeat((xr[own] - s) * y.n, n) + yr[met], np.repeat(xw[own], n) * yw[met], minlength=b * y.n)
+        cells = np.flatnonzero(sums.reshape(b, y.n) >= (bar - x_length[s : s + b] * y_length.max())[:, None])
+        i, j = np.divmod(cells, y.n)
+        near = sums[cells] >= bar - x_length[s + i] * y_length[j]
+        i, j, cosine = i[near], j[near], sums[cells[near]]
+        if 20 * len(i) > b * y.n:
+            cosine += (xm[s : s + b] @ ym.T)[i, j]
+        else:
+            for k in range(0, len(i), 4096):
+                cosine[k : k + 4096] += np.einsum("ij,ij->i", xm[s + i[k : k + 4096]], ym[j[k : k + 4096]])
+        keep = cosine >= least
+        yield s + i[keep], j[keep], cosine[keep]
 
 
 def weighting(texts: DataFrame, grams: Grams, power: float = 1.0, smooth: float = 0.0) -> Weighting:
@@ -104,7 +142,8 @@ def weighting(texts: DataFrame, grams: Grams, power: float = 1.0, smooth: float
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(np.r_[-1, at]), pa.array(np.r_[n, total[at]])], ["bucket", "n"])
 
-    sums = texts.select("text").mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    # few bytes but much work a row: all cores are kept busy
+    sums = texts.select("text").repartition(groups_for(0, texts.sparkSession)).mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     at, n = sums.column(0).to_numpy(), sums.column(1).to_numpy()
     counts = np.zeros(BUCKETS, np.int64)
     counts[at[at >= 0]] = n[at >= 0]
@@ -117,35 +156,45 @@ def cosine_pairs(left: DataFrame, right: DataFrame | None, weights: Weighting, l
     right None: of two rows of left, a < b. A column grp, where both have it, must be equal too.
     Empty texts have no n-grams and no pair.
     """
-    shared = left.sparkSession.sparkContext.broadcast(weights)
-    by = ["grp", "gram"] if "grp" in left.columns else ["gram"]
+    spark = left.sparkSession
+    shared, n = spark.sparkContext.broadcast(weights), groups_for(0, spark)
+    single = right is None
+    by = F.col("grp") if "grp" in left.columns else F.lit("")
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hs = [shared.value.prefix(t, least).view(np.int64) for t in b.column("text").to_pylist()]
-            at = pa.array(np.repeat(np.arange(b.num_rows), [len(h) for h in hs]))
-            gram = pa.array(np.concatenate(hs) if hs else np.empty(0, np.int64))
-            yield pa.record_batch([b.column("id").take(at), *([b.column("grp").take(at)] if len(by) > 1 else []), gram], ["id", *by])
-
-    # few bytes but many partners a row: a number of partitions of our own, which isn't made less
-    n = groups_for(0, left.sparkSession)
-    keyed = lambda df: df.select("id", *by[:-1], "text").repartition(n).mapInArrow(first, "id bigint, " + ("grp string, " if len(by) > 1 else "") + "gram bigint").repartition(n, *by)
-    ours = keyed(left)
-    if right is None:
-        ours = written(ours, "grams").repartition(n, *by)
-        met = ours.withColumnRenamed("id", "a").join(ours.withColumnRenamed("id", "b"), by).where("a < b")
+            both = [shared.value.counted(t) for t in b.column("text").to_pylist()]
+            yield pa.record_batch([b.column("id"), b.column("grp"), pa.array([h for h, _ in both], pa.binary()), pa.array([c for _, c in both], pa.binary())], ["id", "grp", "hashes", "counts"])
+
+    def chunks(df: DataFrame) -> DataFrame:
+        return df.groupBy(by.alias("grp")).agg(F.ceil(F.count("*") / CHUNK_ROWS).alias("n"))
+
+    def dealt(df: DataFrame, sizes: DataFrame, i: Column, j: Column, side: int) -> DataFrame:
+        """Each text in every pair of chunks (i, j) of its group that holds its own; sizes: the chunks of its own and of the other side."""
+        # few bytes but much work a row: a number of partitions of our own, which isn't made less
+        vectors = df.select("id", by.alias("grp"), "text").repartition(n).mapInArrow(counted, "id bigint, grp string, hashes binary, counts binary")
+        vectors = vectors.join(sizes, "grp") if "grp" in left.columns else vectors.crossJoin(F.broadcast(sizes.drop("grp")))
+        each = vectors.withColumn("own", F.pmod(F.xxhash64("id"), "n")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)))
+        return each.select("grp", i.alias("i"), j.alias("j"), ((F.col("own") != i).cast("int") if single else F.lit(side)).alias("side"), "id", "hashes", "counts")
+
+    own, other = F.col("own"), F.col("other")
+    if single:
+        met = dealt(left, chunks(left).withColumn("m", F.col("n")), F.least(own, other), F.greatest(own, other), 0)
     else:
-        met = ours.withColumnRenamed("id", "a").join(keyed(right).withColumnRenamed("id", "b"), by)
-    met = met.select("a", "b").distinct()
-    of = lambda df, k: df.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}"))
-    both = met.join(of(left, "a"), "a").join(of(left if right is None else right, "b"), "b").select("a", "b", "text_a", "text_b")
-
-    def dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s in range(0, b.num_rows, 2000):
-                some = b.slice(s, 2000)
-                sims = shared.value.cosines(some.column(2).to_pylist(), some.column(3).to_pylist())
-                keep = pa.array(sims >= least)
-                yield pa.record_batch([some.column(0).filter(keep), some.column(1).filter(keep), pa.array(sims).filter(keep)], ["a", "b", "sim"])
-
-    return both.mapInArrow(dot, "a bigint, b bigint, sim double")
+        of_left, of_right = chunks(left), chunks(right)
+        met = dealt(left, of_left.join(of_right.withColumnRenamed("n", "m"), "grp"), own, other, 0).unionAll(dealt(right, of_right.join(of_left.withColumnRenamed("n", "m"), "grp"), other, own, 1))
+
+    def pairs(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        sides = [t.filter(pc.equal(t.column("side"), k)) for k in (0, 1)]
+        itself = single and key[1] == key[2]
+        x, y = (shared.value.vectors(s.column("hashes").to_pylist(), s.column("counts").to_pylist()) for s in (sides[0], sides[0 if itself else 1]))
+        a_ids, b_ids = sides[0].column("id").to_numpy(), sides[0 if itself else 1].column("id").to_numpy()
+        for i, j, sim in vector_pairs(x, y, least):
+            a, b = a_ids[i], b_ids[j]
+            if single:
+                keep = a < b if itself else np.full(len(a), True)
+                a, b, sim = np.minimum(a, b)[keep], np.maximum(a, b)[keep], sim[keep]
+            yield pa.record_batch([pa.array(a), pa.array(b), pa.array(sim)], ["a", "b", "sim"])
+
+    return met.repartition(n, "grp", "i", "j").groupBy("grp", "i", "j").applyInArrow(pairs, "a bigint, b bigint, sim double")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from postmill.llm.cosine import cosine_pairs, weighting
 from postmill.llm.ngrams import edits, folded
-from postmill.session import drop_written, written
+from postmill.session import drop_written, groups_for, written
 
 #: Different families that a word must follow at the end of names to be a trade, whatever the number of names.
 TRADE_FAMILIES = 5
@@ -131,7 +131,7 @@ def family_grams(family: str) -> dict[str, float]:
 def name_forms(names: DataFrame) -> DataFrame:
     """(name, family, trade, form) of every distinct name that is not NULL or blank; names has one column, name."""
     spark = names.sparkSession
-    names = written(names.where(F.col("name").isNotNull() & (F.trim("name") != "")).distinct(), "names")
+    names = written(names.where(F.col("name").isNotNull() & (F.trim("name") != "")).distinct().repartition(groups_for(0, spark)), "names")
 
     def last_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
