@@ -27,7 +27,7 @@ CHUNK_ROWS = 16_384
 #: Pairs of texts whose sums are held at once.
 CELLS = 1 << 19
 #: N-grams count as common as long as they make up this share of the least cosine, and as many at most. Both only divide the work.
-COMMON_SHARE, COMMON_GRAMS = 0.4, 512
+COMMON_SHARE, COMMON_GRAMS = 0.4, 256
 
 Grams = Callable[[str], dict[str, float]]
 
@@ -100,7 +100,7 @@ def vector_pairs(x: Vectors, y: Vectors, least: float) -> Iterator[tuple[np.ndar
         common, rest = (column[gram] >= 0), (column[gram] < 0)
         m = np.zeros((n, len(often)))
         m[row[common], column[gram[common]]] = weight[common]
-        return m, np.sqrt((m * m).sum(1)), row[rest], gram[rest], weight[rest]
+        return m, np.sqrt(np.einsum("ij,ij->i", m, m)), row[rest], gram[rest], weight[rest]
 
     xm, x_length, xr, xg, xw = split(x.n, xr, xg, xw)
     ym, y_length, yr, yg, yw = split(y.n, y.row, yg, y.weight)
