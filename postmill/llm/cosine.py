@@ -26,6 +26,8 @@ BUCKETS = 1 << 18
 CHUNK_ROWS = 16_384
 #: Pairs of texts whose sums are held at once.
 CELLS = 1 << 19
+#: Texts that are worth a task of their own. It only divides the work.
+TASK_ROWS = 250
 #: N-grams count as common as long as they make up this share of the least cosine, and as many at most. Both only divide the work.
 COMMON_SHARE, COMMON_GRAMS = 0.4, 256
 
@@ -58,11 +60,6 @@ class Weighting:
         n = max(1, n_texts)
         self.weight = np.log1p(n / np.maximum(counts + smooth * n, 1.0)) ** power
 
-    def counted(self, text: str) -> tuple[bytes, bytes]:
-        """The hashes of the n-grams (64 bits each) and their counts (32)."""
-        bag = self.grams(text)
-        return np.fromiter(map(_hash, bag), np.uint64, len(bag)).tobytes(), np.fromiter(bag.values(), np.float32, len(bag)).tobytes()
-
     def vectors(self, hashes: list[bytes], counts: list[bytes]) -> Vectors:
         """The unit vectors of texts as counted() gives them."""
         n = np.array([len(h) // 8 for h in hashes], np.int64)
@@ -129,21 +126,40 @@ def vector_pairs(x: Vectors, y: Vectors, least: float) -> Iterator[tuple[np.ndar
         yield s + i[keep], j[keep], cosine[keep]
 
 
+def counted(texts: DataFrame, grams: Grams, rows: int | None = None) -> DataFrame:
+    """texts with the hashes of each text's n-grams (64 bits each) and their counts (32); as it is if it has them. rows: how many, if that is known."""
+    if "hashes" in texts.columns:
+        return texts
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bags = [grams(t) for t in b.column("text").to_pylist()]
+            hashes = [np.fromiter(map(_hash, bag), np.uint64, len(bag)).tobytes() for bag in bags]
+            counts = [np.fromiter(bag.values(), np.float32, len(bag)).tobytes() for bag in bags]
+            yield pa.record_batch([*b.columns, pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], [*b.schema.names, "hashes", "counts"])
+
+    # few bytes but much work a row: a number of partitions of our own, which isn't made less; a task for a few rows costs more than they do
+    n = groups_for(0, texts.sparkSession)
+    n = n if rows is None else min(n, -(-rows // TASK_ROWS) or 1)
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields)
+    return texts.repartition(n).mapInArrow(count, f"{own}, hashes binary, counts binary")
+
+
 def weighting(texts: DataFrame, grams: Grams, power: float = 1.0, smooth: float = 0.0) -> Weighting:
-    """The Weighting of all of texts (column text), counted in BUCKETS buckets."""
+    """The Weighting of all of texts (column text, or as counted() gives them), counted in BUCKETS buckets."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(BUCKETS, np.int64), 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                h = np.fromiter(map(_hash, grams(t)), np.uint64)
-                total[np.unique((h >> np.uint64(46)).astype(np.int64))] += 1
-                n += 1
+            hashes = b.column(0).to_pylist()
+            row = np.repeat(np.arange(len(hashes)), [len(h) // 8 for h in hashes])
+            bucket = (np.frombuffer(b"".join(hashes), np.uint64) >> np.uint64(46)).astype(np.int64)
+            total += np.bincount(np.unique(row * BUCKETS + bucket) % BUCKETS, minlength=BUCKETS)
+            n += len(hashes)
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(np.r_[-1, at]), pa.array(np.r_[n, total[at]])], ["bucket", "n"])
 
-    # few bytes but much work a row: all cores are kept busy
-    sums = texts.select("text").repartition(groups_for(0, texts.sparkSession)).mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    sums = counted(texts, grams).select("hashes").mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     at, n = sums.column(0).to_numpy(), sums.column(1).to_numpy()
     counts = np.zeros(BUCKETS, np.int64)
     counts[at[at >= 0]] = n[at >= 0]
@@ -154,6 +170,7 @@ def cosine_pairs(left: DataFrame, right: DataFrame | None, weights: Weighting, l
     """(a, b, sim) for every pair of a row of left and one of right (id bigint, text) with a cosine of at least least.
 
     right None: of two rows of left, a < b. A column grp, where both have it, must be equal too.
+    What is counted() and written already isn't counted again.
     Empty texts have no n-grams and no pair.
     """
     spark = left.sparkSession
@@ -161,18 +178,12 @@ def cosine_pairs(left: DataFrame, right: DataFrame | None, weights: Weighting, l
     single = right is None
     by = F.col("grp") if "grp" in left.columns else F.lit("")
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            both = [shared.value.counted(t) for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("id"), b.column("grp"), pa.array([h for h, _ in both], pa.binary()), pa.array([c for _, c in both], pa.binary())], ["id", "grp", "hashes", "counts"])
-
     def chunks(df: DataFrame) -> DataFrame:
         return df.groupBy(by.alias("grp")).agg(F.ceil(F.count("*") / CHUNK_ROWS).alias("n"))
 
     def dealt(df: DataFrame, sizes: DataFrame, i: Column, j: Column, side: int) -> DataFrame:
         """Each text in every pair of chunks (i, j) of its group that holds its own; sizes: the chunks of its own and of the other side."""
-        # few bytes but much work a row: a number of partitions of our own, which isn't made less
-        vectors = df.select("id", by.alias("grp"), "text").repartition(n).mapInArrow(counted, "id bigint, grp string, hashes binary, counts binary")
+        vectors = counted(df, weights.grams).select("id", by.alias("grp"), "hashes", "counts")
         vectors = vectors.join(sizes, "grp") if "grp" in left.columns else vectors.crossJoin(F.broadcast(sizes.drop("grp")))
         each = vectors.withColumn("own", F.pmod(F.xxhash64("id"), "n")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)))
         return each.select("grp", i.alias("i"), j.alias("j"), ((F.col("own") != i).cast("int") if single else F.lit(side)).alias("side"), "id", "hashes", "counts")

@@ -198,6 +198,11 @@ class History:
             hits = hits.unionAll(table.join(F.broadcast(packed) if n <= BROADCAST_KEYS else packed, "shard").mapInArrow(_search, "key bigint, row bigint, first_row bigint"))
         return hits
 
+    def rows(self) -> DataFrame:
+        """(key, row) of all that is in it."""
+        empty = self.spark.createDataFrame([], "key bigint, row bigint")
+        return reduce(DataFrame.unionByName, [table.select("words", "records").mapInArrow(_rows_of, empty.schema) for table, _, _ in self.segments], empty)
+
     def accept(self, batch: DataFrame) -> DataFrame:
         """(key, first_row) for every key of a batch (key bigint, row bigint): the row that history has under it, else the batch's lowest.
 
@@ -222,17 +227,28 @@ class History:
         return first
 
 
-def first_rows(keys: DataFrame, rows_per_shard: int = GROUP_ROWS) -> DataFrame:
-    """(key, batch, first_row) for keys (key bigint, batch int, row bigint): the row that brought the key.
+def key_rows(keys: DataFrame, rows_per_shard: int = GROUP_ROWS) -> DataFrame:
+    """(key, first_row) for every key of keys (key bigint, batch int, row bigint), once: the row that brought it.
 
-    Batch after batch, in order, is looked up in the history of those before it and added to it: work
-    follows the batches, not what lies before them.
+    Batches are taken in order and looked up in the history of those before, as many at once as hold
+    as many keys as all before them, and rows_per_shard at least: rounds follow the logarithm of the
+    keys, not the number of batches. Of a round, the earliest batch brings a key, in it the lowest row.
     """
-    history, found = History(keys.sparkSession, rows_per_shard), []
-    for r in keys.select("batch").where("batch is not null").distinct().orderBy("batch").collect():
-        found.append(history.accept(keys.where(F.col("batch") == r["batch"])).withColumn("batch", F.lit(r["batch"]).cast("int")))
-    empty = keys.sparkSession.createDataFrame([], "key bigint, first_row bigint, batch int")
-    return reduce(DataFrame.unionByName, found, empty).select("key", "batch", "first_row")
+    history = History(keys.sparkSession, rows_per_shard)
+    sizes = keys.where("batch is not null and key is not null and key != 0").groupBy("batch").count().orderBy("batch").collect()
+    before, held, low = 0, 0, None
+    for i, r in enumerate(sizes):
+        low, held = r["batch"] if low is None else low, held + r["count"]
+        if held >= max(before, rows_per_shard) or i == len(sizes) - 1:
+            some = keys.where(F.col("batch").between(low, r["batch"])).groupBy("key").agg(F.min(F.struct("batch", "row")).alias("m"))
+            history.accept(some.select("key", F.col("m.row").alias("row")))
+            before, held, low = before + held, 0, None
+    return history.rows().select("key", F.col("row").alias("first_row"))
+
+
+def first_rows(keys: DataFrame, rows_per_shard: int = GROUP_ROWS) -> DataFrame:
+    """(key, batch, first_row) for keys (key bigint, batch int, row bigint): the row that brought the key, see key_rows()."""
+    return keys.where("batch is not null").select("key", "batch").distinct().join(key_rows(keys, rows_per_shard), "key").select("key", "batch", "first_row")
 
 
 def covered_rows(texts: DataFrame, min_words: int = 12, rows_per_shard: int = GROUP_ROWS) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postmill.llm.cosine import cosine_pairs, weighting
+from postmill.llm.cosine import cosine_pairs, counted, weighting
 from postmill.llm.ngrams import edits, folded
 from postmill.session import drop_written, groups_for, written
 
@@ -216,11 +216,12 @@ def link_names(names: DataFrame) -> DataFrame:
     """
     named = name_forms(names)
     forms = written(named.select(F.col("form").alias("id"), F.col("trade").alias("grp"), F.col("family").alias("text")).distinct(), "distinct")
-    weights = weighting(forms, family_grams, smooth=SMOOTH)
-    edges = _checked(written(cosine_pairs(forms, None, weights, KEEP), "pairs"), forms)
+    vectors = written(counted(forms, family_grams), "vectors")
+    weights = weighting(vectors, family_grams, smooth=SMOOTH)
+    edges = _checked(written(cosine_pairs(vectors, None, weights, KEEP), "pairs"), forms)
     grouped = average_linkage(forms.select(F.col("id").alias("form")), edges, MERGE)
     # forms without a trade join the group they resemble, if it is only one
-    bare, with_trade = (forms.where(c).select("id", "text") for c in ("grp = ''", "grp != ''"))
+    bare, with_trade = (vectors.where(c).drop("grp") for c in ("grp = ''", "grp != ''"))
     near = cosine_pairs(bare, with_trade, weights, JOIN - LEAD)
     by_group = near.join(grouped.select(F.col("form").alias("b"), "grp"), "b").groupBy("a", "grp").agg(F.max("sim").alias("sim"))
     ranked = by_group.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "grp"))).where("r <= 2")

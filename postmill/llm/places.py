@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.cosine import character_grams, cosine_pairs, weighting
+from postmill.llm.cosine import character_grams, cosine_pairs, counted, weighting
 from postmill.llm.ngrams import edits, folded
 from postmill.session import groups_for, written
 
@@ -174,7 +174,8 @@ def map_places(values: DataFrame, places: DataFrame, value: str = "location") ->
     # a name of the list itself is that name, and no other
     unlike = typed.join(listed, "id", "left_anti")
     same = typed.join(listed.select("id"), "id").select("id", F.col("id").alias("b"), F.lit(1.0).alias("sim"))
-    near = same.unionAll(cosine_pairs(unlike, listed, weighting(listed, character_grams, POWER), COSINE).select(F.col("a").alias("id"), "b", "sim"))
+    vectors = written(counted(listed, character_grams, listed.count()), "vectors")
+    near = same.unionAll(cosine_pairs(unlike, vectors, weighting(vectors, character_grams, POWER), COSINE).select(F.col("a").alias("id"), "b", "sim"))
     about = known.select("place_id", "region_code", "country_iso").distinct()
     about = own.join(about, "place_id").select(F.xxhash64("text").alias("b"), F.struct("text", "place_id", "region_code", "country_iso").alias("p"))
     candidates = near.join(about, "b").select("id", F.struct("sim", "p.*").alias("c"))

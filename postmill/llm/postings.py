@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.graph import components
-from postmill.llm.history import first_rows
+from postmill.llm.history import key_rows
 from postmill.llm.names import link_names
 from postmill.llm.places import placed
 from postmill.session import written
@@ -34,15 +36,16 @@ def accepted_before(rows: DataFrame, names: DataFrame, places: DataFrame) -> Dat
     nothing. Every repeated row is a case. Empty tables give an empty result.
     """
     base = rows.select("row_id", "batch_no", plain_key(F.col("global_id")).alias("g"), plain_requisition(F.col("requisition_id")).alias("req"), F.col("company").alias("name"), "location")
-    orgs = link_names(names)
     numbered = base.where("req is not null and name is not null and location is not null").select("row_id", "req", "name", "location")
-    at = placed(numbered, places).where("size(place_ids) = 1 and place_ids[0] != 0")
-    same = at.join(orgs, "name").select("row_id", F.xxhash64(F.lit("r"), "org", "req", F.col("place_ids")[0]).alias("r"))
+    with ThreadPoolExecutor(1) as aside:  # rounds of small jobs, and work on places that needs none of them: together they keep all cores busy
+        orgs = aside.submit(link_names, names)
+        at = placed(numbered, places).where("size(place_ids) = 1 and place_ids[0] != 0")
+    same = at.join(orgs.result(), "name").select("row_id", F.xxhash64(F.lit("r"), "org", "req", F.col("place_ids")[0]).alias("r"))
     keyed = written(base.select("row_id", F.coalesce("batch_no", F.lit(0)).alias("batch"), F.when(F.col("g").isNotNull(), F.xxhash64(F.lit("g"), "g")).alias("g")).join(same, "row_id", "left"), "keys")
     keys = keyed.select(F.explode(F.array("g", "r")).alias("key"), "batch", F.col("row_id").alias("row"))
-    first = written(first_rows(keys), "first")
-    g, r = (first.select(F.col("key").alias(k), "batch", F.col("first_row").alias(f"{k}f")) for k in ("g", "r"))
-    both = written(keyed.join(g, ["g", "batch"], "left").join(r, ["r", "batch"], "left").select("row_id", "gf", "rf"), "firsts")
+    first = written(key_rows(keys), "first")
+    g, r = (first.select(F.col("key").alias(k), F.col("first_row").alias(f"{k}f")) for k in ("g", "r"))
+    both = written(keyed.join(g, "g", "left").join(r, "r", "left").select("row_id", "gf", "rf"), "firsts")
     roots = components(both.where("gf != rf").select(F.col("gf").alias("a"), F.col("rf").alias("b")))
     found = both.withColumn("node", F.coalesce("gf", "rf")).join(roots, "node", "left").select(F.coalesce("root", "node").alias("first_row_id"), "row_id")
     return found.where("first_row_id != row_id")

@@ -76,6 +76,21 @@ def test_segments_are_merged_by_size_and_never_else_written(spark, monkeypatch):
         assert sum(sizes) == len(first) and all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
 
 
+def test_many_batches_take_few_rounds(spark, monkeypatch):
+    """Batch after batch alone, each is a round of jobs over all partitions: 60 batches took 60 rounds."""
+    rounds, accept = [], History.accept
+    monkeypatch.setattr(History, "accept", lambda self, batch: rounds.append(1) or accept(self, batch))
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.integers(-300, 300)), b, b * 100 + int(rng.integers(0, 100))) for b in range(60) for _ in range(20)] + [(None, 3, 300), (7, None, 1)]
+    first = {}
+    for k, b, r in sorted((x for x in rows if None not in x), key=lambda x: x[1:]):
+        first.setdefault(k, r)
+    first.pop(0, None)
+    got = first_rows(spark.createDataFrame(rows, KEYS), rows_per_shard=100).collect()
+    assert {tuple(r) for r in got} == {(k, b, first[k]) for k, b, _ in rows if k in first and b is not None} and len(got) == len({(r.key, r.batch) for r in got})
+    assert len(rounds) <= 6
+
+
 def test_covered_rows_like_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = []
